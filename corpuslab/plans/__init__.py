@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("metric_queries",)
+MODULES = ("metric_queries", "corpus_queries")
 
 
 def _load() -> None:
