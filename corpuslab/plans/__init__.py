@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ("metric_queries", "corpus_queries")
+MODULES = (
+    "metric_queries", "corpus_queries", "trace_queries", "structure_queries", "report_queries",
+)
 
 
 def _load() -> None:

@@ -272,5 +272,7 @@ def with_tables(sql: str) -> str:
         return sql.strip()
     ctes = ",\n".join(f"{n} as materialized ({TABLES[n].strip()})" for n in order)
     body = sql.strip()
-    joint = ",\n" + body[len("with "):] if body.startswith("with ") else "\n" + body
-    return f"with {ctes}{joint}"
+    for opening in ("with recursive ", "with "):
+        if body.startswith(opening):
+            return f"{opening}{ctes},\n{body[len(opening):]}"
+    return f"with {ctes}\n{body}"
