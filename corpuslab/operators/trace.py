@@ -66,10 +66,15 @@ def line_weights(weights: DataFrame) -> DataFrame:
     )
 
 
-def top_sources(weights: DataFrame, k: int = TOP_K_LINES, source: str = "src") -> DataFrame:
-    """The k heaviest sources per step; a rank limit is applied before the shuffle too."""
+def top_sources(weights: DataFrame, k: int = TOP_K_LINES, source: str = "src",
+                digits: int | None = None) -> DataFrame:
+    """The k heaviest sources per step; a rank limit is applied before the shuffle too.
+
+    `digits` rounds before comparing, so that noise of the sums does not break ties.
+    """
+    weight = F.round("weight", digits) if digits is not None else F.col("weight")
     rank = F.row_number().over(
-        Window.partitionBy(*STEP).orderBy(F.desc("weight"), F.col(source))
+        Window.partitionBy(*STEP).orderBy(weight.desc(), F.col(source))
     )
     return weights.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -98,8 +103,8 @@ def copy_mixture(dist: DataFrame, weights: DataFrame) -> DataFrame:
 
 def greedy(mixture: DataFrame, digits: int | None = None) -> DataFrame:
     """Most probable id per step, the lowest on ties; `digits` rounds before comparing."""
-    p = F.round("p", digits) if digits is not None else F.col("p")
-    best = F.max(F.struct(p.alias("p"), (-F.col("id")).alias("neg")))
+    rank_p = F.round("p", digits) if digits is not None else F.col("p")
+    best = F.max(F.struct(rank_p.alias("rank_p"), (-F.col("id")).alias("neg"), "p"))
     return mixture.groupBy(*STEP).agg(best.alias("b")).select(
         *STEP, (-F.col("b.neg")).alias("id"), F.col("b.p").alias("p")
     )

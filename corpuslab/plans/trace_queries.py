@@ -79,7 +79,7 @@ TOP = """
 
 def _top(t, df):
     # nine digits: the same ties in both systems
-    return trace.top_sources(df.withColumn("weight", F.round("weight", 9)))
+    return trace.top_sources(df, digits=9)
 
 
 @query("trace_topk_sources", TOP + "select ex, step, src, rank, round(weight,6) as weight from top where rank<=10")
@@ -92,7 +92,7 @@ def trace_topk_sources(t):
     r as (select *, row_number() over (partition by ex, step order by round(weight,9) desc, line_no) as rank from l)
     select ex, step, line_no, rank, round(weight,6) as weight from r where rank<=10""")
 def trace_topk_lines(t):
-    top = trace.top_sources(lines(t).withColumn("weight", F.round("weight", 9)), source="line_no")
+    top = trace.top_sources(lines(t), source="line_no", digits=9)
     return top.select(*STEP, "line_no", F.col("rank").cast("bigint").alias("rank"), r6("weight").alias("weight"))
 
 
