@@ -28,8 +28,10 @@ def empty_strings() -> Column:
 
 def pad_right(arr: Column, size: int, value: Column) -> Column:
     """Cut at `size`, then fill up to it."""
-    cut = F.slice(arr, 1, size)
-    return F.concat(cut, F.array_repeat(value, F.greatest(F.lit(size) - F.size(arr), F.lit(0))))
+    return let(
+        F.slice(arr, 1, size),
+        lambda cut: F.concat(cut, F.array_repeat(value, F.greatest(F.lit(size) - F.size(cut), F.lit(0)))),
+    )
 
 
 def joined(arr: Column, sep: str = " ") -> Column:
@@ -88,3 +90,24 @@ def numbered(keys: str) -> str:
         f"if(size(g_) = 0, cast(array() as array<string>), get(transform(array({starts}), "
         f"s_ -> flatten(transform(s_, (x_, j_) -> {copies}))), 0))), 0)"
     )
+
+
+def extra_copies(keys: str) -> str:
+    """SQL text for the second and later copies of every key, sorted."""
+    return (
+        f"get(transform(array(sort_array({keys})), "
+        "g_ -> filter(g_, (x_, i_) -> i_ > 0 and x_ = get(g_, i_ - 1))), 0)"
+    )
+
+
+def overlap_size(left: str, right: str) -> str:
+    """SQL text for the size of the multiset intersection of two key arrays.
+
+    Distinct keys in common, plus the same for the extra copies, which are few in most texts:
+    only those need to be numbered.
+    """
+    return (
+        f"get(transform(array(struct({left} as l, {right} as r)), p_ -> "
+        "size(array_intersect(p_.l, p_.r)) + "
+        f"size(array_intersect({numbered(extra_copies('p_.l'))}, {numbered(extra_copies('p_.r'))}))), 0)"
+    )

@@ -11,6 +11,12 @@ from corpuslab.config import BLANK_MARK, CONTINUE_MARK
 SPACE = r"[\s\x1c-\x1f]"
 SPACE_RUN = "(?U)" + SPACE + "+"
 
+# The characters str.strip removes.
+SPACE_CHARS = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Comment, or literal (possessive, so that long literals cannot exhaust the stack), or rest.
 CODE_PIECE = (
     r"//[^\n]*"
@@ -24,7 +30,7 @@ CODE_PIECE = (
 
 def strip(text: Column) -> Column:
     """Unicode strip of both ends."""
-    return F.regexp_replace(text, f"(?U)^{SPACE}+|{SPACE}+\\z", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def snippet_lines(code: Column) -> Column:

@@ -38,6 +38,10 @@ def corpus_sums(stats: DataFrame, by: list[str], order: int = BLEU_ORDER) -> Dat
         F.sum(F.greatest(possible(F.col("hyp_len"), n), F.lit(1))).alias(f"d{n}")
         for n in range(1, order + 1)
     ]
+    if "recall" in stats.columns:
+        for i in range(BLEU_ORDER):
+            term = F.get("recall", F.lit(i))
+            sums += [F.sum(term.getField("num")).alias(f"rn{i}"), F.sum(term.getField("den")).alias(f"rd{i}")]
     return stats.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col("exact").cast("bigint")).alias("hits"),
@@ -78,15 +82,17 @@ def segment_bleu(smooth: bool = True, order: int = BLEU_ORDER) -> Column:
                       F.col("short_ref_len"), smooth)
 
 
-def corpus_nbleu(stats: DataFrame, by: list[str], smoothing: str | Smoother = "m1",
-                 weights: list[float] | None = None, auto_reweigh: bool = False) -> DataFrame:
+def nbleu_from_sums(smoothing: str | Smoother = "m1", weights: list[float] | None = None,
+                    auto_reweigh: bool = False) -> Column:
     order = len(weights) if weights else BLEU_ORDER
-    sums = corpus_sums(stats, by, order)
     counts = Counts(_summed("m", order), _summed("d", order), F.col("hyp_len"))
-    return sums.select(
-        *by,
-        smoothed_bleu(counts, F.col("close_ref_len"), smoothing, weights, auto_reweigh).alias("bleu"),
-    )
+    return smoothed_bleu(counts, F.col("close_ref_len"), smoothing, weights, auto_reweigh)
+
+
+def corpus_nbleu(stats: DataFrame, by: list[str], smoothing: str | Smoother = "m1",
+                 weights: list[float] | None = None, auto_reweigh: bool = False) -> DataFrame:
+    sums = corpus_sums(stats, by, len(weights) if weights else BLEU_ORDER)
+    return sums.select(*by, nbleu_from_sums(smoothing, weights, auto_reweigh).alias("bleu"))
 
 
 def segment_counts(order: int = BLEU_ORDER, with_next: bool = False) -> Counts:
@@ -119,29 +125,27 @@ def modified_precision(stats: DataFrame, keys: list[str], order: int = BLEU_ORDE
     return stats.select(*keys, F.inline(per_order))
 
 
-def weighted_recall(stats: DataFrame, by: list[str], smoothing: str = "m1",
-                    strict_ref_len: bool = False) -> DataFrame:
-    """Keyword-weighted recall.
+def recall_from_sums(smoothing: str = "m1", strict_ref_len: bool = False) -> Column:
+    """Keyword-weighted recall on a row of sums.
 
-    The length penalty of the reference implementation compares with two tokens per reference
+    The length penalty that published scores use compares with two tokens per reference
     whatever the text; `strict_ref_len` uses the closest reference length instead.
     """
     if smoothing not in ("m1", "m2"):
         raise ValueError("keyword-weighted recall is defined for smoothing m1 and m2 only")
-    nums = [F.sum(F.get("recall", F.lit(i)).getField("num")).alias(f"rn{i}") for i in range(BLEU_ORDER)]
-    dens = [F.sum(F.get("recall", F.lit(i)).getField("den")).alias(f"rd{i}") for i in range(BLEU_ORDER)]
-    ref_len = F.col("close_ref_len") if strict_ref_len else F.lit(2).cast("bigint")
-    sums = stats.groupBy(*by).agg(
-        F.sum("hyp_len").alias("hyp_len"), F.sum(ref_len).alias("ref_len"), *nums, *dens
-    )
+    ref_len = F.col("close_ref_len") if strict_ref_len else F.col("n") * 2
     counts = Counts(
         F.array(*[F.col(f"rn{i}") for i in range(BLEU_ORDER)]),
         F.array(*[F.col(f"rd{i}") for i in range(BLEU_ORDER)]),
         F.col("hyp_len"),
     )
-    return sums.select(
-        *by, smoothed_bleu(counts, F.col("ref_len"), smoothing).alias("weighted_recall")
-    )
+    return smoothed_bleu(counts, ref_len, smoothing)
+
+
+def weighted_recall(stats: DataFrame, by: list[str], smoothing: str = "m1",
+                    strict_ref_len: bool = False) -> DataFrame:
+    score = recall_from_sums(smoothing, strict_ref_len)
+    return corpus_sums(stats, by).select(*by, score.alias("weighted_recall"))
 
 
 def segment_weighted_recall(smoothing: str = "m1", strict_ref_len: bool = False) -> Column:

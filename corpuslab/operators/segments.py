@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.config import BLEU_ORDER, OTHER_WEIGHT
-from corpuslab.functions.arrays import gram_keys, numbered
+from corpuslab.functions.arrays import gram_keys, numbered, overlap_size
 from corpuslab.functions.text import space_tokens, strip
 
 
@@ -24,9 +24,8 @@ def clipped_overlap(hyp: str, refs: str, n: int, single: bool = False) -> Column
     Names token-array columns; `refs` is an array of token arrays, or one of them if `single`.
     """
     if single:
-        best = numbered(gram_keys(refs, n))
-    else:
-        best = f"array_distinct(flatten(transform({refs}, r_ -> {numbered(gram_keys('r_', n))})))"
+        return F.expr(f"cast({overlap_size(gram_keys(hyp, n), gram_keys(refs, n))} as bigint)")
+    best = f"array_distinct(flatten(transform({refs}, r_ -> {numbered(gram_keys('r_', n))})))"
     return F.expr(f"cast(size(array_intersect({numbered(gram_keys(hyp, n))}, {best})) as bigint)")
 
 
