@@ -9,12 +9,16 @@ from pyspark.sql.window import Window
 from corpuslab.functions.text import strip
 
 
+# Most input splits whose offsets are sent to every executor (about 100 bytes each).
+BROADCAST_SPLITS = 500_000
+
+
 def read_indexed_lines(spark: SparkSession, path: str) -> DataFrame:
     """idx, line: lines numbered from 0 in file order, over one file or a folder of parts.
 
     Rows of one input split have consecutive ids, so a row's number is its distance from the
     first row of its split plus the rows of earlier splits. Only the list of splits is sorted;
-    the lines themselves are not shuffled.
+    as long as it is short enough to broadcast, the lines themselves are not shuffled.
     """
     raw = spark.read.text(path).select(
         "value", F.monotonically_increasing_id().alias("_id"),
@@ -28,6 +32,8 @@ def read_indexed_lines(spark: SparkSession, path: str) -> DataFrame:
         Window.unboundedPreceding, Window.currentRow
     )
     offsets = splits.withColumn("_offset", F.sum("_n").over(earlier) - F.col("_n"))
+    if len(raw.inputFiles()) + raw.rdd.getNumPartitions() <= BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
     return raw.join(offsets, ["_file", "_start"]).select(
         (F.col("_id") - F.col("_first") + F.col("_offset")).alias("idx"),
         strip(F.col("value")).alias("line"),
