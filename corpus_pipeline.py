@@ -5,14 +5,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslab.llm import decontaminate, language_id, packing, queries, simhash, toxicity
 from corpuslab.llm.common import written
 
-STAGES: list = []
-
-#: No stage but the last is SQL's to say: tests hold them against brute force.
+#: The stages learn, hash and search: no SQL says their rows, tests hold them against brute force.
 ORACLE_SQL = None
 
 
+def toxic_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, trained on `labels`, does not call toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.score(docs, toxicity.learn(docs, labels), keep=docs.columns)
+    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def language_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language can be told: a text that is null or has no letter goes."""
+    judged = language_id.predict(docs, *language_id.learn(docs), keep=docs.columns)
+    return judged.where(F.col("lang_pred") != "und").select(*docs.columns)
+
+
+def near_copies_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of SimHash near-duplicates, the one with the smallest id; of
+    repeated rows of that id the one whose text comes first. Rows without an id stand for
+    themselves only."""
+    groups = simhash.near_duplicates(docs)
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    best = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row")
+    )
+    fields = [F.col("doc_id") if c == "doc_id" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return best.select(*fields).unionByName(docs.where("doc_id is null"))
+
+
+def benchmark_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of `benchmark`."""
+    judged = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = judged.where("contaminated").select("doc_id").distinct()
+    return docs.join(hit, "doc_id", "left_anti")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in training sequences."""
+    return packing.pack_documents(docs, queries.vocabulary("word_bpe_49k.json"), 4096, 1)
+
+
+STAGES = [
+    ("toxicity", toxic_removed),
+    ("language", language_known),
+    ("simhash", near_copies_removed),
+    ("benchmark", benchmark_removed),
+    ("packing", packed),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -26,7 +26,7 @@ from corpuslab.operators.ranks import rank_within
 #: Fillings that the search may try in all, and at one place.
 NODES, BRANCHES = 3_000, 6
 #: Pieces of one length are numbered in lots of about this many.
-LOT = 50_000
+LOT = 2_000
 
 
 def _place(counts: np.ndarray, space: int) -> np.ndarray:
