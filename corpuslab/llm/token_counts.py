@@ -89,8 +89,6 @@ class PrefixCounter:
     def _learn(self, words: Iterable[str]) -> None:
         """Tokens of words with a space before them. Far below zero where a word's ends are white
         space or nothing, since pre-tokens then depend on what is around it."""
-        if len(self.words) > MEMORY:
-            self.words.clear()
         split, find = {}, self.pattern.findall
         for w in words:
             if w and not w[0].isspace() and not w[-1].isspace():
@@ -112,9 +110,11 @@ class PrefixCounter:
         """Tokens of whole texts: the stored counts of their last prefixes."""
         split = [[part.split(" ") for part in self._segments(t or "")] for t in texts]
         met = set().union(*[words[1:] for parts in split for words in parts])
-        self._learn(met.difference(self.words))
-        if not met <= self.words.keys():  # what was known has just been given up
-            self._learn(met.difference(self.words))
+        new = met.difference(self.words)
+        if len(self.words) + len(new) > MEMORY:
+            self.words.clear()
+            new = met
+        self._learn(new)
         count, out = self.words.__getitem__, []
         for parts in split:
             total = len(parts) - 1

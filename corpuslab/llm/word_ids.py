@@ -41,8 +41,6 @@ class WordIds:
         self.words: dict[str, bytes] = {"": b""}
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.words) > MEMORY:
-            self.words = {"": b""}
         plain, odd = [], []
         for w in words:
             (plain if self.fast_ok and "<|" not in w and self.latin(w) else odd).append(w)
@@ -64,9 +62,11 @@ class WordIds:
         """Little-endian unsigned 32-bit ids of each text, without special tokens. Null: none."""
         split = [t.replace("\n", " ").split(" ") if t else [""] for t in texts]
         met = set().union(*split)
-        self._learn(met.difference(self.words))
-        if not met <= self.words.keys():  # what was known has just been given up
-            self._learn(met.difference(self.words))
+        new = met.difference(self.words)
+        if len(self.words) + len(new) > MEMORY:
+            self.words = {"": b""}
+            new = met - {""}
+        self._learn(new)
         of = self.words.__getitem__
         return [b"".join(map(of, ws)) for ws in split]
 
