@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -121,64 +120,112 @@ def increments(occ: DataFrame) -> DataFrame:
     )
 
 
-def reaching_definitions(occ: DataFrame, blocks: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def _settled(occ: list[dict], edges: list[dict]) -> list[tuple[int, list[int]]]:
+    """(place of a use, its definitions) in one text, by bit sets over its definitions."""
+    rows = sorted((o["block"], o["eo"], o["pos"], o["name"], o["role"]) for o in occ)
+    before: dict[int, list[int]] = {r[0]: [] for r in rows}
+    for e in edges:
+        before.setdefault(e["block"], [])
+        before.setdefault(e["succ"], []).append(e["block"])
+    order = sorted(before)
+    inside: dict[int, list] = {b: [] for b in order}
+    for r in rows:
+        inside[r[0]].append(r)
+    number: dict[str, int] = {}
+    seen, first_sight = {}, {}  # names known at the end of a block; uses that define their name
+    for b in order:
+        known = 0
+        for p in before[b]:
+            known |= seen.get(p, 0)  # blocks that follow in the text have not been read yet
+        for _, _, pos, name, role in inside[b]:
+            bit = 1 << number.setdefault(name, len(number))
+            if not known & bit and role == "rhs":
+                first_sight[b, name] = pos
+            known |= bit
+        seen[b] = known
+    places: list[int] = []
+    of_name: dict[str, int] = {}
+    gen, kept = dict.fromkeys(order, 0), {}
+    for b in order:
+        last = {name: pos for _, _, pos, name, role in inside[b] if role == "lhs"}
+        sights = {n: first_sight[b, n] for n in {r[3] for r in inside[b]} if n not in last and (b, n) in first_sight}
+        for name, pos in (last | sights).items():
+            bit = 1 << len(places)
+            places.append(pos)
+            of_name[name] = of_name.get(name, 0) | bit
+            gen[b] |= bit
+        kept[b] = list(last)
+    every = (1 << len(places)) - 1
+    keep = {b: every & ~sum(of_name[n] for n in kept[b]) for b in order}
+    entry, leave = dict.fromkeys(order, 0), dict(gen)
+    changed = True
+    while changed:  # in text order: once, and once more for each level of loops that matters
+        changed = False
+        for b in order:
+            now = 0
+            for p in before[b]:
+                now |= leave[p]
+            if now != entry[b]:
+                entry[b], changed = now, True
+                leave[b] = gen[b] | now & keep[b]
+    out = []
+    for b in order:
+        local: dict[str, int] = {}
+        for _, _, pos, name, role in inside[b]:
+            if role == "lhs":
+                local[name] = pos
+                continue
+            if name in local:
+                out.append((pos, [local[name]]))
+                continue
+            sight, reach, found = first_sight.get((b, name)), entry[b] & of_name.get(name, 0), set()
+            if sight is not None and sight != pos:
+                found.add(sight)
+            while reach:
+                low = reach & -reach
+                found.add(places[low.bit_length() - 1])
+                reach ^= low
+            out.append((pos, sorted(found)))
+    return out
+
+
+def reaching_definitions(occ: DataFrame, blocks: DataFrame) -> DataFrame:
     """Uses with every definition that reaches them over a block graph.
 
-    `occ` has a `block` column. Facts (definition, block it has reached) travel along the edges
-    and stop where the name is defined again. A round joins only the facts that are new, and
-    only names that are used before being defined in some block travel at all. Rounds end when
-    nothing is new; each is checkpointed.
+    `occ` has a `block` column; blocks are numbered in text order. A definition stops where the
+    name is defined again. The first sight of a name defines it without a parent, if no block
+    before it in the text, from which it can be reached, holds the name; such a definition adds
+    to others that come back over a loop. One text's occurrences and edges meet in one row, as
+    its text did; bit sets then settle in as many passes as loops are nested, not in jobs.
     """
-    place = F.struct(evaluation_order().alias("eo"), "pos")
-    tagged = occ.select(*UNIT, "block", "name", "pos", "role", place.alias("at"))
-    spot = Window.partitionBy(*UNIT, "block", "name").orderBy("at")
-    local = F.last(F.when(F.col("role") == "lhs", F.col("pos")), ignorenulls=True).over(
-        spot.rowsBetween(Window.unboundedPreceding, -1)
-    )
-    uses = cut_lineage(
-        tagged.withColumn("local", local).filter(F.col("role") == "rhs").drop("role", "at")
-    )
-    needed = uses.filter(F.col("local").isNull()).select(*UNIT, "name").distinct()
-    gens = cut_lineage(
-        tagged.filter(F.col("role") == "lhs")
-        .groupBy(*UNIT, "block", "name").agg(F.max(F.struct("at", "pos")).alias("m"))
-        .select(*UNIT, "name", "block", F.col("m.pos").alias("def_pos"))
-        .join(needed, [*UNIT, "name"], "left_semi")
+    occurrence = F.struct("block", evaluation_order().alias("eo"), "pos", "name", "role")
+    texts = occ.groupBy(*UNIT).agg(F.collect_list(occurrence).alias("occ"))
+    graphs = blocks.groupBy(*UNIT).agg(F.collect_list(F.struct("block", "succ")).alias("edges"))
+
+    def run(batches):
+        for batch in batches:
+            ex, side, names, places, parents = [], [], [], [], []
+            for e, s, o, g in zip(*(batch.column(c).to_pylist() for c in ("ex", "side", "occ", "edges"))):
+                name_at = {x["pos"]: x["name"] for x in o}
+                for pos, found in _settled(o, g or []):
+                    ex.append(e)
+                    side.append(s)
+                    names.append(name_at[pos])
+                    places.append(pos)
+                    parents.append(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ex, pa.int64()), pa.array(side, pa.string()), pa.array(names, pa.string()),
+                 pa.array(places, pa.int64()), pa.array(parents, pa.list_(pa.int64()))],
+                names=[*UNIT, "name", "pos", "parent_pos"],
+            )
+
+    settled = texts.join(graphs, UNIT, "left").select(*UNIT, "occ", "edges").mapInArrow(
+        run, "ex bigint, side string, name string, pos bigint, parent_pos array<bigint>"
     )
-    killed = gens.select(*UNIT, "name", "block")
-    fact = [*UNIT, "name", "block", "def_pos"]
-    frontier, found = gens.select(*fact), []
-    for _ in range(max_rounds):
-        entered = (
-            frontier.join(blocks, [*UNIT, "block"])
-            .select(*UNIT, "name", F.col("succ").alias("block"), "def_pos").distinct()
-        )
-        for seen in found:
-            entered = entered.join(seen, fact, "left_anti")
-        entered = cut_lineage(entered)
-        if entered.isEmpty():
-            break
-        found.append(entered)
-        if len(found) % 8 == 0:
-            found = [cut_lineage(reduce(DataFrame.unionByName, found))]
-        frontier = entered.join(killed, [*UNIT, "name", "block"], "left_anti")
-    else:
-        raise RuntimeError("reaching definitions did not settle")
-    exposed = uses.filter(F.col("local").isNull()).drop("local")
-    if found:
-        known = reduce(DataFrame.unionByName, found)
-        linked = exposed.join(known, [*UNIT, "name", "block"], "left")
-    else:
-        linked = exposed.withColumn("def_pos", F.lit(None).cast("bigint"))
-    inner = uses.filter(F.col("local").isNotNull()).withColumnRenamed("local", "def_pos")
-    return (
-        linked.unionByName(inner).groupBy(*UNIT, "name", "pos")
-        .agg(F.sort_array(F.collect_set("def_pos")).alias("parent_pos"))
-        .select(
-            *UNIT, "name", "pos", F.lit("comesFrom").alias("relation"),
-            F.when(F.size("parent_pos") > 0, F.array("name")).otherwise(_no_names()).alias("parent_names"),
-            "parent_pos",
-        )
+    return settled.select(
+        *UNIT, "name", "pos", F.lit("comesFrom").alias("relation"),
+        F.when(F.size("parent_pos") > 0, F.array("name")).otherwise(_no_names()).alias("parent_names"),
+        "parent_pos",
     )
 
 
@@ -301,24 +348,23 @@ def connected_nodes(edges: DataFrame) -> DataFrame:
 def normalize_names(edges: DataFrame) -> DataFrame:
     """Names as var_0, var_1, … by first mention, parents of an edge before its own name.
 
-    Mentions are cut to the first per name before the shuffle; only the distinct names of an
-    example come together, in order of mention, and are joined to its edges.
+    Mentions are cut to the first per name before the shuffle and numbered within their example;
+    numbers come back to the mentions by name, and mentions to their edges.
     """
     mentions = edges.select(
-        *UNIT, "pos", F.posexplode(F.concat("parent_names", F.array("name"))).alias("i", "name")
+        *UNIT, "pos", "relation", F.posexplode(F.concat("parent_names", F.array("name"))).alias("i", "name")
     )
     first = mentions.groupBy(*UNIT, "name").agg(F.min(F.struct("pos", "i")).alias("first"))
-    ordered = F.sort_array(F.collect_list(F.struct("first", "name")))
-    names = first.groupBy(*UNIT).agg(
-        F.transform(ordered, lambda x: x.getField("name")).alias("names")
+    in_order = Window.partitionBy(*UNIT).orderBy("first", "name")
+    names = first.select(
+        *UNIT, "name", F.concat(F.lit("var_"), (F.row_number().over(in_order) - 1).cast("string")).alias("var")
     )
-
-    def var(name: Column) -> Column:
-        return F.concat(F.lit("var_"), (F.array_position("names", name) - 1).cast("string"))
-
-    return edges.join(names, UNIT).select(
-        *UNIT, "pos", var(F.col("name")).alias("name"), "relation",
-        F.transform("parent_names", var).alias("parent_names"),
+    numbered = mentions.join(names, [*UNIT, "name"]).groupBy(*UNIT, "pos", "relation").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("i", "var"))), lambda x: x.getField("var")).alias("vars")
+    )
+    return numbered.select(
+        *UNIT, "pos", F.element_at("vars", -1).alias("name"), "relation",
+        F.slice("vars", F.lit(1), F.size("vars") - 1).alias("parent_names"),
     )
 
 

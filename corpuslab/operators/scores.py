@@ -106,9 +106,9 @@ def segment_counts(order: int = BLEU_ORDER, with_next: bool = False) -> Counts:
 
 def segment_nbleu(smoothing: str | Smoother = "m1", weights: list[float] | None = None,
                   auto_reweigh: bool = False) -> Column:
-    """Score of one segment; smoothers m5 and m7 read the order above the last one."""
+    """Score of one segment; smoothers m5, m7 and a caller's own read the order above the last one."""
     order = len(weights) if weights else BLEU_ORDER
-    counts = segment_counts(order, with_next=smoothing in ("m5", "m7"))
+    counts = segment_counts(order, with_next=callable(smoothing) or smoothing in ("m5", "m7"))
     return smoothed_bleu(counts, F.col("close_ref_len"), smoothing, weights, auto_reweigh)
 
 

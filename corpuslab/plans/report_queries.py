@@ -186,7 +186,7 @@ def stream_bleu(t):
     schema = t.preds.select("model", "idx", "hyp").schema
     refs = t.segments.select("idx", "ref")
     streaming.stream_scores(t.spark, f"{base}/in", schema, refs, f"{base}/out", f"{base}/ck").awaitTermination()
-    out = streaming.rolled_up(t.spark, f"{base}/out")
+    out = streaming.rolled_up(t.spark, f"{base}/out").drop("unmatched")
     return out.withColumns({"exact_match": r6("exact_match"), "bleu": r6("bleu")})
 
 

@@ -75,23 +75,18 @@ def flow_use_def(t):
     return shown(flow.use_def(t.occ).filter(F.col("role") == "rhs"))
 
 
-def _ref(t) -> DataFrame:
-    """The reference texts alone; the models' texts add nothing to check here."""
-    return t.occ.filter(F.col("side") == "ref")
-
-
 @query("flow_declarations", """
     select l.ex, l.side, l.name, l.pos, 'comesFrom' as relation, coalesce(r.name,'') as parent_names, coalesce(r.pos::varchar,'') as parent_pos
-    from occ l left join occ r on r.ex=l.ex and r.side=l.side and r.stmt=l.stmt and r.role='rhs' where l.role='lhs' and l.side='ref'""")
+    from occ l left join occ r on r.ex=l.ex and r.side=l.side and r.stmt=l.stmt and r.role='rhs' where l.role='lhs'""")
 def flow_declarations(t):
-    return shown(flow.declarations(_ref(t)))
+    return shown(flow.declarations(t.occ))
 
 
 @query("flow_assignments", """
     select l.ex, l.side, l.name, l.pos, 'computedFrom' as relation, r.name as parent_names, r.pos::varchar as parent_pos
-    from occ l join occ r on r.ex=l.ex and r.side=l.side and r.stmt=l.stmt and r.role='rhs' where l.role='lhs' and l.side='ref'""")
+    from occ l join occ r on r.ex=l.ex and r.side=l.side and r.stmt=l.stmt and r.role='rhs' where l.role='lhs'""")
 def flow_assignments(t):
-    return shown(flow.assignments(_ref(t)))
+    return shown(flow.assignments(t.occ))
 
 
 @query("flow_assignments_grouped", """
@@ -105,32 +100,42 @@ def flow_assignments_grouped(t):
 @query("flow_increments", """
     select l.ex, l.side, l.name, l.pos, 'computedFrom' as relation, string_agg(r.name,',' order by r.pos) as parent_names,
       string_agg(r.pos::varchar,',' order by r.pos) as parent_pos
-    from occ l join occ r on r.ex=l.ex and r.side=l.side and r.stmt=l.stmt where l.side='ref' group by all""")
+    from occ l join occ r on r.ex=l.ex and r.side=l.side and r.stmt=l.stmt group by all""")
 def flow_increments(t):
-    return shown(flow.increments(_ref(t)))
+    return shown(flow.increments(t.occ))
 
 
-# Reaching definitions over the block graph: facts of blocks' ends, then what enters each block.
+# Reaching definitions over the block graph: names seen before in the text, facts of blocks' ends
+# (first sights add to what comes back over a loop), then what enters each block.
 REACH = """
-    with recursive o as (select *, stmt//2 as block, stmt*2+(case when role='lhs' then 1 else 0 end) as eo from occ where side='ref'),
-    u as (select *, last_value(case when role='lhs' then pos end ignore nulls) over (partition by ex, block, name order by eo, pos
+    with recursive o as (select *, stmt//2 as block, stmt*2+(case when role='lhs' then 1 else 0 end) as eo from occ),
+    b as (select ex, side, block, succ from blocks where {edges}),
+    seen as (select distinct ex, side, name, block from o
+      union select s.ex, s.side, s.name, b.succ from seen s join b on b.ex=s.ex and b.side=s.side and b.block=s.block and b.succ>b.block),
+    before as (select distinct s.ex, s.side, s.name, b.succ as block from seen s join b on b.ex=s.ex and b.side=s.side and b.block=s.block and b.succ>b.block),
+    f as (select *, row_number() over (partition by ex, side, block, name order by eo, pos) as k from o),
+    sight as (select f.ex, f.side, f.name, f.block, f.pos from f
+      anti join before p on p.ex=f.ex and p.side=f.side and p.name=f.name and p.block=f.block where f.k=1 and f.role='rhs'),
+    u as (select *, last_value(case when role='lhs' then pos end ignore nulls) over (partition by ex, side, block, name order by eo, pos
         rows between unbounded preceding and 1 preceding) as loc from o),
-    g as (select ex, block, name, arg_max(pos, eo*1000000+pos) as d from o where role='lhs' group by all),
-    b as (select ex, block, succ from blocks where side='ref' and {edges}),
-    ends as (select ex, name, d, block from g
-      union select e.ex, e.name, e.d, b.succ from ends e join b on b.ex=e.ex and b.block=e.block
-      anti join g on g.ex=e.ex and g.block=b.succ and g.name=e.name),
-    ins as (select distinct e.ex, e.name, e.d, b.succ as block from ends e join b on b.ex=e.ex and b.block=e.block),
-    found as (select u.ex, u.name, u.pos, i.d from u left join ins i on i.ex=u.ex and i.block=u.block and i.name=u.name
+    g as (select ex, side, block, name, arg_max(pos, eo*1000000+pos) as d from o where role='lhs' group by all),
+    ends as (select ex, side, name, d, block from g
+      union select s.ex, s.side, s.name, s.pos, s.block from sight s anti join g on g.ex=s.ex and g.side=s.side and g.block=s.block and g.name=s.name
+      union select e.ex, e.side, e.name, e.d, b.succ from ends e join b on b.ex=e.ex and b.side=e.side and b.block=e.block
+      anti join g on g.ex=e.ex and g.side=e.side and g.block=b.succ and g.name=e.name),
+    ins as (select distinct e.ex, e.side, e.name, e.d, b.succ as block from ends e join b on b.ex=e.ex and b.side=e.side and b.block=e.block),
+    found as (select u.ex, u.side, u.name, u.pos, i.d from u left join ins i on i.ex=u.ex and i.side=u.side and i.block=u.block and i.name=u.name
         where u.role='rhs' and u.loc is null
-      union all select ex, name, pos, loc from u where role='rhs' and loc is not null)
-    select ex, 'ref' as side, name, pos, 'comesFrom' as relation, case when count(d)>0 then name else '' end as parent_names,
-      coalesce(string_agg(distinct d::varchar,',' order by d::varchar),'') as parent_pos from found group by ex, name, pos"""
+      union all select u.ex, u.side, u.name, u.pos, s.pos from u join sight s on s.ex=u.ex and s.side=u.side and s.block=u.block and s.name=u.name
+        where u.role='rhs' and u.loc is null and u.pos<>s.pos
+      union all select ex, side, name, pos, loc from u where role='rhs' and loc is not null)
+    select ex, side, name, pos, 'comesFrom' as relation, case when count(d)>0 then name else '' end as parent_names,
+      coalesce(string_agg(distinct d::varchar,',' order by d::varchar),'') as parent_pos from found group by ex, side, name, pos"""
 
 
 def _reaching(t, back_edges: bool) -> DataFrame:
-    occ = _ref(t).withColumn("block", F.floor(F.col("stmt") / 2))
-    blocks = t.blocks.filter(F.col("side") == "ref")
+    occ = t.occ.withColumn("block", F.floor(F.col("stmt") / 2))
+    blocks = t.blocks
     if not back_edges:
         blocks = blocks.filter(F.col("succ") > F.col("block"))
     return flow.reaching_definitions(occ, blocks)

@@ -9,16 +9,20 @@ from pyspark.sql.window import Window
 from corpuslab.functions.text import strip
 
 
-# Most input splits whose offsets are sent to every executor (about 100 bytes each).
-BROADCAST_SPLITS = 500_000
+def file_order(path: Column) -> list[Column]:
+    """Folder, then the first number of the file name by value, then the name."""
+    folder = F.regexp_replace(path, "[^/]*$", "")
+    name = F.element_at(F.split(path, "/"), -1)
+    number = F.ltrim(F.regexp_extract(name, "[0-9]+", 0), F.lit("0"))
+    return [folder, F.regexp_extract(name, "^[^0-9]*", 0), F.length(number), number, name]
 
 
 def read_indexed_lines(spark: SparkSession, path: str) -> DataFrame:
     """idx, line: lines numbered from 0 in file order, over one file or a folder of parts.
 
     Rows of one input split have consecutive ids, so a row's number is its distance from the
-    first row of its split plus the rows of earlier splits. Only the list of splits is sorted;
-    as long as it is short enough to broadcast, the lines themselves are not shuffled.
+    first row of its split plus the rows of earlier splits. Only the list of splits is sorted.
+    Parts go by folder, then by the numbers in their names, so part 100000 follows part 99999.
     """
     raw = spark.read.text(path).select(
         "value", F.monotonically_increasing_id().alias("_id"),
@@ -28,12 +32,10 @@ def read_indexed_lines(spark: SparkSession, path: str) -> DataFrame:
     splits = raw.groupBy("_file", "_start").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first")
     )
-    earlier = Window.orderBy("_file", "_start").rowsBetween(
+    earlier = Window.orderBy(*file_order(F.col("_file")), "_start").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     offsets = splits.withColumn("_offset", F.sum("_n").over(earlier) - F.col("_n"))
-    if len(raw.inputFiles()) + raw.rdd.getNumPartitions() <= BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
     return raw.join(offsets, ["_file", "_start"]).select(
         (F.col("_id") - F.col("_first") + F.col("_offset")).alias("idx"),
         strip(F.col("value")).alias("line"),
@@ -84,8 +86,13 @@ def require_aligned(left: DataFrame, right: DataFrame, keys: list[str]) -> None:
 
 
 def write_lines(df: DataFrame, text: str, order: list[str], path: str) -> None:
-    """One text per line, in order over the part files (a range partitioned sort)."""
-    df.select(*order, F.col(text).alias("value")).orderBy(*order).select("value").write.text(path)
+    """One text per line, in order over the part files (a range partitioned sort).
+
+    A text with a line break would come back as two lines and shift all that follow: it fails.
+    """
+    one_line = F.when(~F.col(text).rlike("[\\r\\n]"), F.col(text)).when(F.col(text).isNull(), F.lit(None))
+    checked = one_line.otherwise(F.raise_error(F.lit(f"{text} holds a line break")).cast("string"))
+    df.select(*order, checked.alias("value")).orderBy(*order).select("value").write.text(path)
 
 
 def read_keywords(spark: SparkSession, path: str, lang: str) -> DataFrame:

@@ -14,13 +14,17 @@ def stream_scores(spark: SparkSession, preds_path: str, schema: T.StructType, re
                   out_path: str, checkpoint: str, continuous: bool = False):
     """Score prediction files as they arrive.
 
+    Predictions without a reference cannot be scored; each batch counts them per model.
+
     Score ingredients are sums, so each micro-batch writes its own per-model sums under its
     batch id. A replayed batch overwrites its own folder and changes nothing.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        stats = seg_stats(batch.join(refs, "idx"))
-        corpus_sums(stats, ["model"]).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        sums = corpus_sums(seg_stats(batch.join(refs, "idx")), ["model"])
+        alone = batch.join(refs, "idx", "left_anti").groupBy("model").agg(F.count(F.lit(1)).alias("unmatched"))
+        both = sums.join(alone, "model", "full_outer").na.fill(0)
+        both.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     stream = spark.readStream.schema(schema).parquet(preds_path)
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -28,13 +32,13 @@ def stream_scores(spark: SparkSession, preds_path: str, schema: T.StructType, re
 
 
 def rolled_up(spark: SparkSession, out_path: str) -> DataFrame:
-    """Scores of everything seen so far."""
+    """Scores of everything seen so far, with the number of predictions that had no reference."""
     parts = spark.read.parquet(out_path)
     sums = [c for c in parts.columns if c not in ("model", "batch_id")]
     total = parts.groupBy("model").agg(*[F.sum(c).alias(c) for c in sums])
     return total.select(
-        "model", "n", (F.col("hits") * 100.0 / F.col("n")).alias("exact_match"),
-        bleu_from_sums(total).alias("bleu"),
+        "model", "n", F.try_divide(F.col("hits") * 100.0, F.col("n")).alias("exact_match"),
+        bleu_from_sums(total).alias("bleu"), "unmatched",
     )
 
 

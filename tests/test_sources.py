@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 from corpuslab.config import KEYWORDS
 from corpuslab.operators.scores import corpus_bleu, exact_match
 from corpuslab.operators.segments import seg_stats
+from corpuslab.plans import all_queries
 from corpuslab.plans.oracle import with_tables
 from corpuslab.sources import corpus, text
 from corpuslab.streaming import scores as streaming
@@ -144,6 +145,25 @@ def test_query_equals_its_sql(spark, name):
 
 def test_flagship_and_registry(spark):
     assert entry.entry(spark).columns == ["model", "bleu", "exact_match", "code_bleu"]
-    unchecked = set(entry.queries()) - set(entry.oracle_sql())
+    assert set(all_queries()) <= set(entry.queries())
+    unchecked = set(all_queries()) - set(entry.oracle_sql())
     assert unchecked == {"bpe_train_merges", "batch_assign", "trace_forced_copy_sample"}
     assert with_tables("select 1") == "select 1"
+
+
+def test_parts_go_by_number(spark, tmp_path):
+    from corpuslab.sources.text import read_indexed_lines
+
+    for number in (99999, 100000, 100001, 2):
+        (tmp_path / f"part-{number:05d}-x.txt").write_text(f"line {number}\n")
+    got = [r.line for r in read_indexed_lines(spark, str(tmp_path)).orderBy("idx").collect()]
+    assert got == ["line 2", "line 99999", "line 100000", "line 100001"]
+
+
+@pytest.mark.parametrize("text", ["a\rb", "a\nb"])
+def test_line_breaks_are_rejected(spark, tmp_path, text):
+    from corpuslab.sources.text import write_lines
+
+    df = spark.createDataFrame([(0, "fine"), (1, text)], "idx bigint, line string")
+    with pytest.raises(Exception, match="line break"):
+        write_lines(df, "line", ["idx"], str(tmp_path / "out"))

@@ -151,6 +151,40 @@ def test_loop_reaches_back(spark):
     assert got == {2: [0, 3], 4: [0, 3], 6: [3]}
 
 
+def graph_of(spark, edges):
+    return spark.createDataFrame([(0, "ref", a, b) for a, b in edges], "ex bigint, side string, block bigint, succ bigint")
+
+
+def reached(spark, rows, edges):
+    return {r.pos: r.parent_pos for r in flow.reaching_definitions(occ(spark, rows), graph_of(spark, edges)).collect()}
+
+
+def test_first_sight_defines_a_name_across_blocks(spark):
+    rows = [(0, 0, "x", "rhs", 0), (1, 1, "x", "rhs", 1), (2, 2, "x", "rhs", 1)]
+    assert reached(spark, rows, [(0, 1)]) == {0: [], 1: [0], 2: [0]}
+    # seen in two branches only: each is a first sight, both reach the end
+    rows = [(0, 0, "x", "rhs", 1), (1, 1, "x", "rhs", 2), (2, 2, "x", "rhs", 3)]
+    assert reached(spark, rows, [(0, 1), (0, 2), (1, 3), (2, 3)]) == {0: [], 1: [], 2: [0, 1]}
+    # over a loop the later definition joins the first sight
+    rows = [(0, 0, "x", "rhs", 0), (1, 1, "x", "lhs", 1), (2, 2, "x", "rhs", 0)]
+    assert reached(spark, rows, [(0, 1), (1, 0)]) == {0: [1], 2: [0, 1]}
+
+
+def test_a_long_chain_of_blocks_takes_one_job(spark):
+    n = 20_000
+    rows = [(0, 0, "x", "lhs", 0), (n - 1, 1, "x", "rhs", n - 1), (n - 1, 2, "y", "rhs", n - 1)]
+    edges = spark.range(n - 1).selectExpr("0L as ex", "'ref' as side", "id as block", "id + 1 as succ")
+    got = {r.pos: r.parent_pos for r in flow.reaching_definitions(occ(spark, rows), edges).collect()}
+    assert got == {1: [0], 2: []}
+
+
+def test_a_pair_without_a_tree_stays(spark):
+    tree = spark.createDataFrame([(0, "ref", "s"), (0, "m", "s"), (1, "m", "s")], "ex bigint, side string, sexp string")
+    pairs = spark.createDataFrame([("m", 0), ("m", 1)], "model string, idx bigint")
+    got = {r.idx: (r.total, r.hit) for r in trees.syntax_match(pairs, tree).collect()}
+    assert got == {0: (1, 1), 1: (0, 0)}
+
+
 def test_rule_table(spark):
     rules = flow.rule_table(spark)
     assert rules.select("lang").distinct().count() == 7
