@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuslab.config import CROSS_LINE, PAD, CorpusSpec, SideFlags
 from corpuslab.functions.arrays import empty_strings, let, pad_right, positions
 from corpuslab.functions.text import drop_empty, plain_line
-from corpuslab.operators.ranks import hash_rank, rank_within
+from corpuslab.operators.ranks import digest_rank
 
 
 def flat_padded(tokens: Column, limit: int, end_flag: str | None = None) -> Column:
@@ -119,19 +119,21 @@ def reverse_pairs(pairs: DataFrame, spec: CorpusSpec) -> tuple[DataFrame, Corpus
 
 
 def assign_batches(df: DataFrame, key: str, size: int, seed: int = 0,
-                   within: str | None = None) -> DataFrame:
-    """Shuffle by a seeded hash and number batches of `size`, per split if `within` is given."""
-    order = F.xxhash64(F.col(key), F.lit(seed))
-    if within:
-        bucket = F.shiftright(order, 54).cast("int")
-        ranked = rank_within(
-            df.withColumn("_order", order), [within], bucket, [F.col("_order"), F.col(key)]
-        ).drop("_order")
-    else:
-        ranked = hash_rank(df, order, [F.col(key)])
+                   within: str | None = None, digits: int = 3) -> DataFrame:
+    """Shuffle by a seeded digest and number batches of `size`, per split if `within` is given.
+
+    Rows are numbered in 16**`digits` pieces, so a piece is a task's work for up to billions of rows.
+    """
+    order = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")).cast("binary"))
+    ranked = digest_rank(df, order, [F.col(key)], [within] if within else [], digits)
     return ranked.withColumn("batch", F.floor((F.col("rank") - 1) / size))
 
 
-def sample_batches(batched: DataFrame, count: int) -> DataFrame:
-    """The first `count` batches of the shuffled order."""
-    return batched.filter(F.col("batch") < count)
+def sample_batches(batched: DataFrame, count: int, epoch: int = 0) -> DataFrame:
+    """The `count` batches of an epoch: those after the last epoch's, from the start again after the
+    last one. All batches where there are fewer."""
+    total = batched.agg((F.max("batch") + 1).alias("_total")).withColumn("_all", F.lit(0))
+    ahead = F.col("batch") - F.lit(epoch * count) % F.col("_total") + F.col("_total")
+    return batched.withColumn("_all", F.lit(0)).join(total, "_all").filter(
+        ahead % F.col("_total") < count
+    ).drop("_all", "_total")

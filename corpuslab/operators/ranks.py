@@ -32,10 +32,10 @@ def rank_within(df: DataFrame, keys: list[str], bucket: Column, order: list[Colu
     )
 
 
-def hash_rank(df: DataFrame, order: Column, ties: list[Column], bits: int = 10,
-              name: str = "rank") -> DataFrame:
-    """Global rank by a 64-bit hash: its top bits are even pieces, known without sampling."""
-    bucket = F.shiftright(order, 64 - bits).cast("int")
+def digest_rank(df: DataFrame, order: Column, ties: list[Column], keys: list[str], digits: int = 3,
+                name: str = "rank") -> DataFrame:
+    """Rank by a hexadecimal digest: its first digits are even pieces, known without sampling."""
     keyed = df.withColumn("_all", F.lit(0)).withColumn("_order", order)
-    ranked = rank_within(keyed, ["_all"], bucket, [F.col("_order"), *ties], name)
+    piece = F.substring("_order", 1, digits)
+    ranked = rank_within(keyed, ["_all", *keys], piece, [F.col("_order"), *ties], name)
     return ranked.drop("_all", "_order")

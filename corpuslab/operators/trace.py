@@ -158,7 +158,8 @@ def sample_forced_copy(weights: DataFrame, seed: int = 0, keep: float = 0.4) ->
     """Draw one position per step in proportion to its weight (Gumbel keys from a seeded hash);
     the loss weight of the draw is kept with the given probability, else 0."""
     def uniform(*cols: Column) -> Column:
-        return (F.shiftrightunsigned(F.xxhash64(*cols), 11) + 0.5) / float(2**53)
+        digest = F.md5(F.concat_ws("|", *[c.cast("string") for c in cols]).cast("binary"))
+        return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") + 0.5) / float(2**52)
 
     draw = uniform(F.col("ex"), F.col("step"), F.col("src"), F.lit(seed))
     key = F.ln("copy_weight") - F.ln(-F.ln(draw))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from corpuslab.operators import encode, statistics, subwords, vocab
 from corpuslab.operators.comments import strip_comments, strip_python_comments
 from corpuslab.plans.registry import query
 from corpuslab.plans.tables import SPEC
-from corpuslab.session import scratch_path
+from corpuslab.session import cut_lineage, scratch_path
 from corpuslab.sources import corpus, text
 
 
@@ -262,7 +264,8 @@ def txt_strip_py_comments(t):
     return strip_python_comments(t.documents.select("doc_id", code.alias("code")))
 
 
-BPE_SIZE = SPEC.vocab_size
+#: Merging a few pairs a round, training takes minutes for thousands of them.
+BPE_SIZE = 200
 
 
 def _trained(t):
@@ -394,7 +397,7 @@ def enc_oov_tokens(t):
 
 
 EXT = """
-    with ext as (select idx, token, 199+row_number() over (partition by idx order by ln, ps) as ext_id from (
+    with ext as (select idx, token, 3999+row_number() over (partition by idx order by ln, ps) as ext_id from (
       select idx, token, min(line_no) as ln, arg_min(pos, line_no*1000000+pos) as ps from toks t anti join vocab v using (token)
       where side='key1' group by all)),
     coded as (select t.idx, t.side, t.line_no, t.pos, t.token, coalesce(v.id, e.ext_id, 1) as id from toks t
@@ -432,7 +435,7 @@ def enc_ext_ids(t):
 
 
 @query("enc_restore_unk", EXT + """
-    select idx, side, line_no, string_agg((case when id<200 then id else 1 end)::varchar,' ' order by pos) as ids from coded group by all""")
+    select idx, side, line_no, string_agg((case when id<4000 then id else 1 end)::varchar,' ' order by pos) as ids from coded group by all""")
 def enc_restore_unk(t):
     fed = _coded(t).withColumn("id", vocab.plain_id(F.col("id"), SPEC.vocab_size))
     return _per_line(fed, "id", "ids")
@@ -455,9 +458,11 @@ def pairs_reverse(t):
     )
 
 
-@query("batch_assign")
+@query("batch_assign", """
+    select split, idx, row_number() over (partition by split order by md5(idx||'|7'), idx) as rank,
+      (row_number() over (partition by split order by md5(idx||'|7'), idx)-1)//40 as batch from pairs""")
 def batch_assign(t):
-    """Batch numbers in seeded order; sizes are checked by `batch_sizes`, the order in the tests."""
+    """Batch numbers in seeded order."""
     return encode.assign_batches(t.pairs.select("split", "idx"), "idx", 40, seed=7, within="split")
 
 
@@ -468,12 +473,17 @@ def batch_sizes(t):
     return batch_assign(t).groupBy("split", "batch").agg(F.count(F.lit(1)).alias("snippets"))
 
 
-@query("batch_validation_sample", "select least(3*40, count(*))::bigint as snippets, count(distinct idx)::bigint >= 1 as some from pairs where split='valid'")
+@query("batch_validation_sample", """
+    with b as (select idx, (row_number() over (order by md5(idx||'|7'), idx)-1)//40 as batch from pairs where split='valid'),
+    n as (select max(batch)+1 as n from b)
+    select e.epoch::bigint as epoch, b.idx, b.batch from b cross join n cross join (select unnest(range(4)) as epoch) e
+    where (b.batch - e.epoch*3 % n.n + n.n) % n.n < 3""")
 def batch_validation_sample(t):
+    """What four epochs are validated on: each goes on where the last one stopped."""
     valid = encode.assign_batches(t.pairs.filter(F.col("split") == "valid").select("idx"), "idx", 40, seed=7)
-    return encode.sample_batches(valid, 3).agg(
-        F.count_distinct("idx").alias("snippets"), (F.count(F.lit(1)) >= 1).alias("some")
-    )
+    valid = cut_lineage(valid)
+    epochs = [encode.sample_batches(valid, 3, e).select(F.lit(e).cast("bigint").alias("epoch"), "idx", "batch") for e in range(4)]
+    return reduce(lambda a, b: a.unionByName(b), epochs)
 
 
 # -- statistics ------------------------------------------------------------------------------

@@ -114,7 +114,7 @@ TABLES: dict[str, str] = {
     "vocab": """
         select id::bigint as id, token from specials
         union all select 10+row_number() over (order by c desc, token), token from (
-          select token, count(*) c from toks where split='train' group by token order by c desc, token limit 189)""",
+          select token, count(*) c from toks where split='train' group by token order by c desc, token limit 3989)""",
     "user_events": "select *, row_number() over (partition by user_id order by ts, event_id) as rn from events",
     "attn": """
         select ex, step, src, src//5 as line_no, ((event_id*(step+3)) % 17)/4.0 as score, mask,

@@ -16,8 +16,9 @@ from corpuslab.config import CorpusSpec
 from corpuslab.functions.arrays import let, positions
 from corpuslab.functions.text import snippet_lines, space_tokens, token_matrix, word_tokens
 from corpuslab.operators.ranks import rank_within
+from corpuslab.session import cut_lineage
 
-SPEC = CorpusSpec(vocab_size=200)
+SPEC = CorpusSpec()
 MODELS = ["drop5", "drop11", "drop97", "sub9", "dup13"]
 SIDE_WORDS = ["the", "of", "and", "in", "le", "der", "que"]
 
@@ -169,6 +170,19 @@ class Tables:
             F.when((ex + step) % 6 == 0, 1).otherwise(0).alias("y_mask"),
         )
 
+    @cached_property
+    def weights(self) -> DataFrame:
+        """Attention weights; written once, since penalties and losses read them many times."""
+        from corpuslab.operators.trace import masked_softmax
+
+        return cut_lineage(masked_softmax(cut_lineage(self.attn)))
+
+    @cached_property
+    def covered(self) -> DataFrame:
+        from corpuslab.operators.trace import coverage
+
+        return cut_lineage(coverage(self.weights))
+
     @cached_property
     def dist(self) -> DataFrame:
         """Vocabulary distribution per example and step."""
