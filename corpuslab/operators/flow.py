@@ -398,13 +398,14 @@ def prepared_bags(edges: DataFrame) -> DataFrame:
     return edge_bags(normalize_names(cut_lineage(connected_nodes(edges))))
 
 
-def dataflow_match(pairs: DataFrame, bags: DataFrame, ref_side: str = "ref") -> DataFrame:
-    """model, idx, total, hit; a candidate edge is used once."""
-    ref = bags.filter(F.col("side") == ref_side).select(
+def dataflow_match(pairs: DataFrame, bags: DataFrame, ref_side: str | list[str] = "ref") -> DataFrame:
+    """model, idx, total, hit; a candidate edge is used once for each reference side."""
+    is_ref = F.col("side").isin(ref_side)
+    ref = bags.filter(is_ref).select(
         F.col("ex").alias("idx"), "edge", F.col("cnt").alias("want")
     )
     total = ref.groupBy("idx").agg(F.sum("want").alias("total"))
-    held = bags.filter(F.col("side") != ref_side).select(
+    held = bags.filter(~is_ref).select(
         F.col("ex").alias("idx"), F.col("side").alias("model"), "edge", "cnt"
     )
     hits = held.join(ref, ["idx", "edge"]).groupBy("model", "idx").agg(

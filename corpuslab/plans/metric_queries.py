@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.config import LANGUAGE_ALIASES, LANGUAGES
+from corpuslab.config import KEYWORDS, LANGUAGE_ALIASES, LANGUAGES
 from corpuslab.functions.arrays import GRAM_SEP, gram_keys, joined, ngrams
 from corpuslab.functions.bleu import brevity_penalty
 from corpuslab.functions.tables import literal_table
@@ -14,6 +16,8 @@ from corpuslab.operators import flow, reports, scores, trees
 from corpuslab.operators.segments import clipped_overlap, keyword_mask, ref_tokens, seg_stats, token_weight
 from corpuslab.plans.registry import query
 from corpuslab.plans.tables import SIDE_WORDS, Tables
+from corpuslab.session import scratch_path
+from corpuslab.sources.text import read_keywords
 
 
 def r6(c: Column | str) -> Column:
@@ -66,6 +70,22 @@ def kw_token_weights(t):
     )
 
 
+_KEYWORD_ROWS = ", ".join(f"('{lang}', '{w}')" for lang, words in KEYWORDS.items() for w in words)
+
+
+@query("kw_files", f"""
+    with k(lang, word) as (values {_KEYWORD_ROWS})
+    select k.lang, k.word, count(w.w)::bigint as cnt from (select distinct * from k) k left join words w on w.w=k.word group by all""")
+def kw_files(t):
+    """How often each language's keywords occur, from one file of keywords a language."""
+    base = scratch_path(t.spark, "keywords")
+    for lang, words in KEYWORDS.items():
+        literal_table(t.spark, ["value"], [(w,) for w in words]).write.text(f"{base}/{lang}")
+    lists = reduce(DataFrame.unionByName, [read_keywords(t.spark, f"{base}/{lang}", lang) for lang in KEYWORDS]).distinct()
+    counts = t.segments.select(F.explode(F.split("ref", " ")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
+    return lists.join(counts, "word", "left").select("lang", "word", F.coalesce("cnt", F.lit(0).cast("bigint")).alias("cnt"))
+
+
 @query("kw_share_by_model", """
     select model, sum(len(h))::bigint as tokens,
       sum(len(list_filter(h, lambda x: list_contains(['the','of','and','in','le','der','que'], x))))::bigint as keywords
@@ -302,11 +322,48 @@ def metric_weighted_segment(t):
 
 
 def syntax_of(t: Tables) -> DataFrame:
-    return trees.syntax_match(t.preds, trees.subtrees(t.nodes))
+    return trees.syntax_match(t.preds.select("model", "idx"), trees.subtrees(t.nodes, digests=True))
 
 
 def flow_of(t: Tables) -> DataFrame:
-    return flow.dataflow_match(t.preds, flow.prepared_bags(t.flows))
+    return flow.dataflow_match(t.preds.select("model", "idx"), flow.prepared_bags(t.flows))
+
+
+#: Two of the texts as references of the others.
+REFERENCES = ["ref", "sub9"]
+
+
+def _judged(t: Tables) -> DataFrame:
+    return t.preds.select("model", "idx").filter(~F.col("model").isin(REFERENCES))
+
+
+def _summed(hits: DataFrame, name: str) -> DataFrame:
+    sums = hits.groupBy("model").agg(F.sum("total").alias("total"), F.sum("hit").alias("hit"))
+    return sums.withColumn(name, r6(F.col("hit") / F.col("total")))
+
+
+@query("metric_syntax_multiref", """
+    with r as (select ex, sexp, count(*) as cnt from subtrees where side in ('ref','sub9') group by all),
+    t as (select ex, sum(cnt) as total from r group by ex),
+    d as (select distinct ex, side, sexp from subtrees where side not in ('ref','sub9')),
+    m as (select d.side, d.ex, sum(cnt) as hit from r join d on d.ex=r.ex and d.sexp=r.sexp group by all)
+    select p.model, sum(coalesce(t.total,0))::bigint as total, sum(coalesce(m.hit,0))::bigint as hit,
+      round(sum(coalesce(m.hit,0))::double/sum(t.total),6) as syntax from preds p
+    left join t on t.ex=p.idx left join m on m.ex=p.idx and m.side=p.model where p.model<>'sub9' group by p.model""")
+def metric_syntax_multiref(t):
+    return _summed(trees.syntax_match(_judged(t), trees.subtrees(t.nodes, digests=True), REFERENCES), "syntax")
+
+
+@query("metric_dataflow_multiref", """
+    with r as (select * from flow_bag where side in ('ref','sub9')),
+    t as (select ex, sum(cnt) as total from r group by ex),
+    m as (select d.side, d.ex, sum(least(r.cnt, d.cnt)) as hit from r join flow_bag d on d.ex=r.ex and d.edge=r.edge
+      where d.side not in ('ref','sub9') group by all)
+    select p.model, sum(coalesce(t.total,0))::bigint as total, sum(coalesce(m.hit,0))::bigint as hit,
+      round(sum(coalesce(m.hit,0))::double/sum(t.total),6) as flow from preds p
+    left join t on t.ex=p.idx left join m on m.ex=p.idx and m.side=p.model where p.model<>'sub9' group by p.model""")
+def metric_dataflow_multiref(t):
+    return _summed(flow.dataflow_match(_judged(t), flow.prepared_bags(t.flows), REFERENCES), "flow")
 
 
 @query("metric_syntax_match", """

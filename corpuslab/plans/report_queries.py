@@ -9,6 +9,7 @@ from corpuslab.plans.metric_queries import flow_of, r6, stats_of, syntax_of
 from corpuslab.plans.registry import query
 from corpuslab.plans.tables import MODELS
 from corpuslab.session import scratch_path
+from corpuslab.sources import text
 from corpuslab.streaming import scores as streaming
 
 
@@ -99,6 +100,17 @@ def log_parse(t):
     return runs.parse_log_lines(lines).withColumns({"train_loss": r6("train_loss"), "valid_loss": r6("valid_loss")})
 
 
+@query("log_files", """
+    select 'run='||run as run, epoch, round(train_loss,6)::double as train_loss, round(valid_loss,6)::double as valid_loss from runlog""")
+def log_files(t):
+    """One log file below a folder for each run, written in epoch order and read back."""
+    base = scratch_path(t.spark, "logs")
+    lines = t.runlog.select("run", "epoch", F.concat_ws(" ", "train_loss", "valid_loss").alias("value"))
+    lines.repartition("run").sortWithinPartitions("run", "epoch").select("run", "value").write.partitionBy("run").text(base)
+    read = text.read_run_logs(t.spark, base)
+    return read.select("run", "epoch", r6("train_loss").alias("train_loss"), r6("valid_loss").alias("valid_loss"))
+
+
 @query("log_cut_epochs", """
     select r.run, count(*)::bigint as epochs, round(min(valid_loss),6) as min_loss from runlog r where epoch<=20 group by r.run""")
 def log_cut_epochs(t):

@@ -97,6 +97,44 @@ def flow_assignments_grouped(t):
     return shown(flow.assignments_grouped(t.occ))
 
 
+@query("flow_assignments_tuple", """
+    with o as (select *, pos%6 as k from occ),
+    x as (select ex, side, stmt, name, pos, case when k<2 then 'lhs' else 'rhs' end as role, k%2 as item from o),
+    n as (select ex, side, stmt, count(distinct case when role='lhs' then item end) as l, count(distinct case when role='rhs' then item end) as r from x group by all),
+    y as (select x.*, case when l=r then item else 0 end as place from x join n using (ex, side, stmt))
+    select a.ex, a.side, a.name, a.pos, 'computedFrom' as relation, string_agg(b.name,',' order by b.pos) as parent_names,
+      string_agg(b.pos::varchar,',' order by b.pos) as parent_pos
+    from y a join y b on b.ex=a.ex and b.side=a.side and b.stmt=a.stmt and b.place=a.place and b.role='rhs' where a.role='lhs' group by all""")
+def flow_assignments_tuple(t):
+    """Two targets a statement, each with the sources of its place in the tuple."""
+    place = F.col("pos") % 6
+    occ = t.occ.withColumns({"role": F.when(place < 2, "lhs").otherwise("rhs"), "item": place % 2})
+    return shown(flow.assignments_grouped(occ, item="item"))
+
+
+@query("flow_branch_edges", """
+    with d as (select doc_id, doc_id%2=1 as has_else, case doc_id%7 when 0 then 'java' when 1 then 'python' when 2 then 'javascript'
+      when 3 then 'ruby' when 4 then 'go' when 5 then 'php' else 'c_sharp' end as lang from documents),
+    b as (select *, case when has_else then 3 else 2 end as after from d),
+    e as (
+      select doc_id, 0 as block, 1 as succ from b
+      union select doc_id, case when lang='javascript' then 1 else 0 end, 2 from b where has_else
+      union select doc_id, 1, after from b where not (lang='javascript' and has_else)
+      union select doc_id, 2, after from b where has_else
+      union select doc_id, 0, after from b where lang='javascript' and has_else
+      union select doc_id, 0, after from b where not has_else or lang not in ('python','ruby','javascript'))
+    select doc_id, block::bigint as block, succ::bigint as succ from e""")
+def flow_branch_edges(t):
+    """An if statement per document, with an else in every other one, in seven languages."""
+    has_else = F.col("doc_id") % 2 == 1
+    langs = F.array(*[F.lit(x) for x in ("java", "python", "javascript", "ruby", "go", "php", "c_sharp")])
+    lang = F.get(langs, (F.col("doc_id") % 7).cast("int"))
+    bodies = F.when(has_else, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    after = F.when(has_else, 3).otherwise(2)
+    edges = flow.branch_edges(has_else, F.lit(0), bodies, after, F.lit(1), lang)
+    return t.read("documents").select("doc_id", F.inline(edges))
+
+
 @query("flow_increments", """
     select l.ex, l.side, l.name, l.pos, 'computedFrom' as relation, string_agg(r.name,',' order by r.pos) as parent_names,
       string_agg(r.pos::varchar,',' order by r.pos) as parent_pos

@@ -29,6 +29,13 @@ def test_subtrees_and_depth(spark):
     }
 
 
+def test_digests_are_equal_where_subtrees_are(spark):
+    df = nodes(spark, {"ref": TREE, "m": TREE})
+    a = {(r.side, r.node_id): r.sexp for r in trees.subtrees(df).collect()}
+    b = {(r.side, r.node_id): r.sexp for r in trees.subtrees(df, digests=True).collect()}
+    assert a.keys() == b.keys() and all((a[x] == a[y]) == (b[x] == b[y]) for x in a for y in a)
+
+
 def test_childless_root_and_anonymous_children(spark):
     df = nodes(spark, {"a": [(0, None, 0, "program", True, None)],
                        "b": [(0, None, 0, "program", True, None), (1, 0, 0, ";", False, ";")]})
