@@ -94,6 +94,22 @@ def strip_c_comments(code: Column) -> Column:
     return drop_blank_lines(F.array_join(pieces, ""))
 
 
+#: A string literal: three quotes to the next three, or one to the next on its line.
+_STRING = (
+    r'(?:"{3}[\s\S]*?"{3}' + r"|'{3}[\s\S]*?'{3}"
+    + r'|"(?!"")[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"' + r"|'(?!'')[^'\\\n]*+(?:\\.[^'\\\n]*+)*+')"
+)
+PYTHON_PIECE = rf"(?m)(^[ \t]*)[rRuUbB]?{_STRING}|({_STRING})|#[^\n]*"
+
+
+def strip_python_comments(code: Column) -> Column:
+    """Comments and strings that begin a line go, other strings stay, blank lines go.
+
+    A string that begins a line inside brackets counts as one too.
+    """
+    return drop_blank_lines(F.regexp_replace(code, F.lit(PYTHON_PIECE), F.lit("$1$2")))
+
+
 def lower_unless(token: Column, keep: list[str]) -> Column:
     return F.when(token.isin(keep), token).otherwise(F.lower(token))
 

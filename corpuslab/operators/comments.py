@@ -2,54 +2,16 @@
 
 from __future__ import annotations
 
-import io
-import tokenize
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.functions.text import strip_c_comments
-
-
-def _blank_spans(source: str) -> str:
-    """Python source without comments and statement-level strings; columns stay in place."""
-    lines = source.splitlines(keepends=True)
-    cuts: list[tuple[tuple[int, int], tuple[int, int]]] = []
-    before = tokenize.INDENT
-    for tok in tokenize.generate_tokens(io.StringIO(source).readline):
-        statement = before in (tokenize.INDENT, tokenize.NEWLINE) or tok.start[1] == 0
-        if tok.type == tokenize.COMMENT or (tok.type == tokenize.STRING and statement):
-            cuts.append((tok.start, tok.end))
-        before = tok.type
-    for (r1, c1), (r2, c2) in reversed(cuts):
-        lines[r1 - 1 : r2] = [lines[r1 - 1][:c1] + lines[r2 - 1][c2:]]
-    return "\n".join(x for x in "".join(lines).split("\n") if x.strip())
-
-
-def _strip_python(source: str) -> str:
-    try:
-        return _blank_spans(source)
-    except (tokenize.TokenError, SyntaxError, IndexError):
-        return source
-
-
-def strip_python_comments(df: DataFrame, code: str = "code") -> DataFrame:
-    """Arrow batches through the standard tokenizer; source it rejects stays as it is."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf[code] = pdf[code].map(_strip_python)
-            yield pdf
-
-    return df.mapInPandas(run, df.schema)
+from corpuslab.functions.text import strip_c_comments, strip_python_comments
 
 
 def strip_comments(df: DataFrame, code: str = "code", lang: str = "lang") -> DataFrame:
-    """Strip by the language column: Python by tokens, Ruby not at all, others C-like."""
-    is_python = F.coalesce(F.col(lang) == "python", F.lit(False))
-    rest = df.filter(~is_python).withColumn(
-        code, F.when(F.col(lang) == "ruby", F.col(code)).otherwise(strip_c_comments(F.col(code)))
+    """Strip by the language column: Python by its own rules, Ruby not at all, others C-like."""
+    text = F.col(code)
+    return df.withColumn(
+        code, F.when(F.col(lang) == "python", strip_python_comments(text)).when(F.col(lang) == "ruby", text)
+        .otherwise(strip_c_comments(text)),
     )
-    return rest.unionByName(strip_python_comments(df.filter(is_python), code))

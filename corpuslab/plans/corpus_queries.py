@@ -17,10 +17,11 @@ from corpuslab.functions.text import (
     reference_text,
     snippet_lines,
     strip_c_comments,
+    strip_python_comments,
     word_tokens,
 )
 from corpuslab.operators import encode, statistics, subwords, vocab
-from corpuslab.operators.comments import strip_comments, strip_python_comments
+from corpuslab.operators.comments import strip_comments
 from corpuslab.plans.registry import query
 from corpuslab.plans.tables import SPEC
 from corpuslab.session import cut_lineage, scratch_path
@@ -261,7 +262,7 @@ def txt_strip_py_comments(t):
         lambda x: F.concat(F.lit('x = "'), F.translate(x, '\\"', ""), F.lit('"  # note')),
     )
     code = F.concat(F.lit('"""About\nthis."""\n\n'), F.array_join(safe, "\n"))
-    return strip_python_comments(t.documents.select("doc_id", code.alias("code")))
+    return t.documents.select("doc_id", strip_python_comments(code).alias("code"))
 
 
 #: Merging a few pairs a round, training takes minutes for thousands of them.

@@ -140,10 +140,11 @@ class Tables:
 
     @cached_property
     def vocab(self) -> DataFrame:
+        """The training tokens' vocabulary, written once."""
         from corpuslab.operators.vocab import build_vocab
 
         train = self.toks.filter(F.col("split") == "train")
-        return build_vocab(train, SPEC.special_tokens(), SPEC.vocab_size)
+        return cut_lineage(build_vocab(train, SPEC.special_tokens(), SPEC.vocab_size))
 
     @cached_property
     def user_events(self) -> DataFrame:

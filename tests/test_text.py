@@ -8,7 +8,7 @@ from corpuslab.config import CorpusSpec
 from corpuslab.functions import text
 from corpuslab.functions.arrays import gram_keys, ngrams, numbered
 from corpuslab.operators import subwords
-from corpuslab.operators.comments import strip_comments, strip_python_comments
+from corpuslab.operators.comments import strip_comments
 
 
 def value(spark, expr, **cols):
@@ -66,12 +66,20 @@ def test_python_comments(spark):
     code = '"""doc"""\nx = "keep"  # gone\n\ndef f():\n    "doc"\n    return x\n'
     rows = [(0, code), (1, "def broken(:\n  '''"), (2, "# all\n")]
     df = spark.createDataFrame(rows, "id bigint, code string")
-    got = {r.id: r.code for r in strip_python_comments(df).collect()}
+    got = {r.id: r.code for r in df.withColumn("code", text.strip_python_comments(F.col("code"))).collect()}
     assert got[0] == 'x = "keep"  \ndef f():\n    return x'
     assert got[1] == rows[1][1]
     assert got[2] == ""
 
 
+@pytest.mark.parametrize("code, want", [
+    ("x = '#'  # c", "x = '#'  "), ('x = "a\\"#b"#c', 'x = "a\\"#b"'), ("f('''a\n# b''')", "f('''a\n# b''')"),
+    ("r'''doc\n\nmore'''\ny", "y"), ("x = ''\ny = \"\" # z", "x = ''\ny = \"\" "), ("s = '" + "a" * 50000 + "'#", "s = '" + "a" * 50000 + "'"),
+])
+def test_python_strings(spark, code, want):
+    assert value(spark, text.strip_python_comments(F.col("x")), x=code) == want
+
+
 def test_strip_by_language(spark):
     rows = [("python", "a # x"), ("ruby", "a # x"), ("java", "a // x"), (None, "b // y")]
     df = spark.createDataFrame(rows, "lang string, code string")
