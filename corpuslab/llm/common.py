@@ -40,6 +40,18 @@ def row_map(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: s
     return df.mapInArrow(run, schema)
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable):
+    """What a worker process keeps from task to task, made once. One thing only: when the next
+    operator comes, what the last one learned is given up, so memory does not add up."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     if "text" not in batch.schema.names or batch.nbytes <= SLICE_CHARS:
         if batch.num_rows:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import crc_fold, row_map
+from corpuslab.llm.common import crc_fold, kept, row_map
 
 #: Components of a hypervector.
 DIMENSIONS = 512
@@ -92,10 +92,8 @@ class Binder:
         return bundle / size if size else bundle
 
 
-@lru_cache(maxsize=1)
 def binder() -> Binder:
-    """One for each worker process."""
-    return Binder()
+    return kept("language", Binder)
 
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",

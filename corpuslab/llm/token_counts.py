@@ -10,14 +10,13 @@ Budgets and truncation read the stored counts, without encoding anything again.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm import vocab_files
-from corpuslab.llm.common import row_map
+from corpuslab.llm.common import kept, row_map
 
 #: Words and token pairs a worker remembers; when there are more, it starts again with none.
 MEMORY = 600_000
@@ -172,10 +171,8 @@ class PrefixCounter:
         return int(np.flatnonzero(self.prefixes(text) <= budget)[-1]) if budget >= 0 else 0
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> PrefixCounter:
-    """One for each worker process, which keeps what it has learned from task to task."""
-    return PrefixCounter(path)
+    return kept(("prefix counts", path), lambda: PrefixCounter(path))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

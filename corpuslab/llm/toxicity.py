@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import crc_fold, row_map
+from corpuslab.llm.common import crc_fold, kept, row_map
 
 WINDOW, STRIDE = 48, 40
 BUCKETS, VECTOR, STATES = 1 << 14, 6, 8
@@ -28,7 +28,7 @@ INPUTS = 3 + 2 * VECTOR
 TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_WINDOWS = 1200, 3600, 24
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 #: Words a worker remembers; when there are more, it starts again with none.
-MEMORY = 300_000
+MEMORY = 200_000
 #: The fold of four that is never learned from.
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
@@ -202,15 +202,8 @@ class Windows:
         return np.maximum.reduceat(values, np.cumsum([0, *counts[:-1]]))
 
 
-_LIVE: dict[str, Windows] = {}
-
-
 def _windows(name: str, shared) -> Windows:
-    """One for each worker process and network, which keeps its words from task to task."""
-    if name not in _LIVE:
-        _LIVE.clear()
-        _LIVE[name] = Windows(shared.value)
-    return _LIVE[name]
+    return kept(("toxicity", name), lambda: Windows(shared.value))
 
 
 def laid_out(rows: np.ndarray) -> np.ndarray:

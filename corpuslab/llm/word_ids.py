@@ -8,14 +8,14 @@ once; all others, and all words with a special token's string, through the libra
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 
 from corpuslab.llm import vocab_files
+from corpuslab.llm.common import kept
 
 #: Words a worker remembers; when there are more, it starts again with none.
-MEMORY = 700_000
+MEMORY = 400_000
 END = "</w>"
 
 
@@ -71,7 +71,5 @@ class WordIds:
         return [b"".join(map(of, ws)) for ws in split]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordIds:
-    """One for each worker process, which keeps what it has learned from task to task."""
-    return WordIds(path)
+    return kept(("word ids", path), lambda: WordIds(path))
