@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.llm import decontaminate, language_id, packing, queries, simhash, toxicity
-from corpuslab.llm.common import written
+from corpuslab.llm.common import parted_by_ids, written
 
 #: The stages learn, hash and search: no SQL says their rows, tests hold them against brute force.
 ORACLE_SQL = None
@@ -29,20 +29,29 @@ def near_copies_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """One document of each group of SimHash near-duplicates, the one with the smallest id; of
     repeated rows of that id the one whose text comes first. Rows without an id stand for
     themselves only."""
-    groups = simhash.near_duplicates(docs)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    best = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(
-        F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row")
+    groups = simhash.near_duplicates(docs).where("doc_id is not null")
+    special = written(
+        groups.groupBy("doc_id").agg(
+            F.count(F.lit(1)).alias("copies"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")
+        ).where("copies > 1 or not stays"), "simhash-special",
+    )
+    others, concerned = parted_by_ids(docs, special, "doc_id")
+    ids = special.select(F.col("doc_id").alias("special_id"), "stays")
+    columns = [c for c in docs.columns if c not in ("doc_id", "text")]
+    best = (
+        concerned.join(ids, F.col("doc_id") == F.col("special_id"), "left").where("special_id is null or stays")
+        .groupBy("doc_id").agg(F.min(F.struct("text", *columns)).alias("row"))
     )
     fields = [F.col("doc_id") if c == "doc_id" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return best.select(*fields).unionByName(docs.where("doc_id is null"))
+    return others.unionByName(best.select(*fields))
 
 
 def benchmark_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of `benchmark`."""
+    """Documents without a passage of `benchmark`. A row without an id cannot be named, and stays."""
     judged = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = judged.where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti")
+    hit = written(judged.where("contaminated").select("doc_id").distinct(), "benchmark-hits")
+    others, concerned = parted_by_ids(docs, hit, "doc_id")
+    return others.unionByName(concerned.join(hit, "doc_id", "left_anti"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

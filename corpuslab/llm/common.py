@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +79,35 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of an id filter at most: 2**26 are eight megabytes, however many ids there are.
+MOST_BITS = 26
+
+
+def parted_by_ids(rows: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose id is certainly not in `ids`, all others), told by a filter of bounded size.
+
+    So only rows that may be concerned have to meet `ids` in a join, and whole texts of the others
+    are not shuffled. Rows with a null id are with the first. With very many ids the filter lets
+    more rows through to the join, never fewer.
+    """
+    known = ids.select(F.xxhash64(F.col(column)).alias("h")).where(F.col(column).isNotNull())
+    bits = min(MOST_BITS, max(10, known.count().bit_length() + 5))
+    place = F.shiftrightunsigned("h", 64 - bits)
+    one = F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned(h, {64 - bits}), 64) as int))")
+    words = known.select(F.shiftright(place, 6).alias("w"), one.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    filled = np.zeros(1 << (bits - 6), dtype=np.int64)
+    filled[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def may_be(h: pd.Series) -> pd.Series:
+        at = h.to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+        return pd.Series((shared.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool))
+
+    concerned = may_be(F.xxhash64(F.col(column)))
+    return rows.where(F.col(column).isNull() | ~concerned), rows.where(F.col(column).isNotNull() & concerned)
+
+
 def crc_fold(column: str, folds: int) -> Column:
     """crc32 of an id's text, modulo `folds`; a null id is in fold 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(folds)), F.lit(0))

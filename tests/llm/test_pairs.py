@@ -241,3 +241,18 @@ def test_lists_are_pruned_and_searchable():
     found = np.zeros_like(near)
     found[by, to] = True
     assert not (found & ~near).any() and found.sum() >= 0.9 * near.sum()
+
+
+@pytest.mark.parametrize("bits", [26, 3])
+def test_rows_parted_by_ids(spark, monkeypatch, bits):
+    from corpuslab.llm import common
+
+    monkeypatch.setattr(common, "MOST_BITS", max(bits, 7))
+    rows = spark.createDataFrame([(i, "t") for i in range(500)] + [(None, "n"), (7, "again")], "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 500, 7)] + [(None,), (7,)], "doc_id long")
+    others, concerned = common.parted_by_ids(rows, ids, "doc_id")
+    a, b = [r["doc_id"] for r in others.collect()], [r["doc_id"] for r in concerned.collect()]
+    assert len(a) + len(b) == 502 and None in a
+    assert not {i for i in a if i is not None} & set(range(0, 500, 7)) and b.count(7) == 2
+    none, all_of = common.parted_by_ids(rows, ids.limit(0), "doc_id")
+    assert none.count() == 502 and all_of.count() == 0
