@@ -54,6 +54,26 @@ def op10_benchmark_decontamination(spark, folder):
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')".format(_LOWER.format("coalesce(text, '')"))
+
+ORACLES["op10_benchmark_decontamination"] = f"""
+with d as (select doc_id, {_WORDS} as ws from documents),
+i as (select item_id, {_WORDS} as ws from benchmark),
+iw as (select distinct item_id, n, array_to_string(ws[k:k+n-1], ' ') as g from (
+  select item_id, ws, n, unnest(range(1, len(ws)-n+2)) as k from (select *, least(10, len(ws)) as n from i where len(ws) > 0))),
+dw as (select doc_id, n, k, array_to_string(ws[k:k+n-1], ' ') as g from (
+  select doc_id, ws, n, unnest(range(1, len(ws)-n+2)) as k from d cross join (select distinct n from iw) where len(ws) >= n)),
+hits as (select distinct doc_id, k, n, item_id from dw join iw using (n, g)),
+inside as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k+n)) as p from hits) group by doc_id),
+met as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names from (
+  select distinct doc_id, item_id::varchar as item from hits) group by doc_id)
+select d.doc_id, len(d.ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join inside using (doc_id) left join met using (doc_id)
+"""
+
+
 @query
 def op2_embedding_near_dedup(spark, folder):
     from corpuslab.llm.embeddings import near_vectors
@@ -61,6 +81,19 @@ def op2_embedding_near_dedup(spark, folder):
     return near_vectors(table(spark, folder, "embeddings"), 0.95)
 
 
+ORACLES["op2_embedding_near_dedup"] = """
+with recursive e as (select vec_id, embedding::double[] as v from embeddings),
+u as (select * from e where v is not null and len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0
+  and len(list_filter(v, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  and list_cosine_similarity(a.v, b.v) >= 0.95),
+reach as (select vec_id as a, vec_id as b from e union select r.a, l.b from reach r join links l on l.a = r.b),
+least as (select a as vec_id, min(b) as component_id from reach group by a)
+select e.vec_id, (select count(*) from links where links.a = e.vec_id)::bigint as n_links, component_id, e.vec_id = component_id as kept
+from e join least using (vec_id)
+"""
+
+
 @query
 def op3_chat_formatting(spark, folder):
     from corpuslab.llm.chat import prefix_targets, read_back
@@ -73,6 +106,25 @@ def op3_chat_formatting(spark, folder):
     return read_back(prefix_targets(turns.unionByName(extra)))
 
 
+ORACLES["op3_chat_formatting"] = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), w as (
+  select *, 12 + length(replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), chr(10), '<|nl|>')) + 1
+    + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 11 as size from turns
+), c as (
+  select *, sum(size) over (partition by conv_id order by turn, role, text rows unbounded preceding) as context,
+    row_number() over (partition by conv_id order by turn desc, role desc, text desc) = 1 as is_last from w
+)
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(case when role = 'assistant' or is_last then context else 0 end)::bigint as formatted_chars
+from c group by conv_id
+"""
+
 #: Host, path and verdict of each rule.
 RULES = [
     ("org", "/", "allow"),
