@@ -37,7 +37,7 @@ def op1_best_fit_packing(spark, folder):
 def op8_simhash_near_dedup(spark, folder):
     from corpuslab.llm.simhash import near_duplicates
 
-    return near_duplicates(table(spark, folder, "documents"))
+    return near_duplicates(table(spark, folder, "documents"), similarity=None)
 
 
 @query

@@ -5,6 +5,10 @@ such pair meets under one of six 32-bit keys. What meets is compared bit-sliced:
 to a machine word and one row of words to a bit; two carry-save counters (ones, twos) and an
 overflow mask follow 64 distances at a time, and a block of lanes is left as soon as all are over
 the radius.
+
+Two bits find little more than copies: texts that share 0.8 of their 5-word shingles lie at 3 to 11
+bits and more, which no blocks of 64 bits cover. Those are found by the least hashes of their
+shingles, meet under keys of several of them, and are verified by the exact Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -16,9 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import components, row_map, written
+from corpuslab.llm.common import components, parted_by_ids, row_map, written
 
 RADIUS = 2
+#: Words of a shingle and the least Jaccard similarity of near copies.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Keys of a text and least hashes in each. A pair at 0.8 shares none by a chance of
+#: (1 - 0.8**5)**40, which is 1.3e-7.
+BANDS, BAND_ROWS = 40, 5
+#: Groups of candidates over this many texts are cut into pieces that meet pairwise.
+TEXTS = 1024
 #: Groups over this many fingerprints are cut into pieces whose pairs are separate groups.
 PIECE = 2048
 #: Groups from this size on are compared query block by query block, smaller ones by shifts.
@@ -189,6 +200,154 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
 
 
+# ---------------------------------------------------------------- similar shingles
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Distinct 64-bit hashes, in order, of the runs of `SHINGLE` words; a shorter text is one run."""
+    from xxhash import xxh64_intdigest
+
+    words = text.encode().lower().split() if text else []
+    h = np.fromiter(map(xxh64_intdigest, words, repeat(42)), dtype=np.uint64, count=len(words))
+    width = min(SHINGLE, len(h))
+    if not width:
+        return h
+    out = np.full(len(h) - width + 1, width, dtype=np.uint64)
+    for i in range(width):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i:len(h) - width + 1 + i]
+    return np.unique(_mixed(out))
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """`BANDS` keys of a set of shingles, each of `BAND_ROWS` least hashes; none of an empty set."""
+    if not len(found):
+        return np.zeros(0, dtype=np.int64)
+    random = np.random.default_rng(8).integers(0, 2**63, (2, BANDS * BAND_ROWS), dtype=np.uint64)
+    add, factor = random[0], random[1] | np.uint64(1)
+    least = np.full(BANDS * BAND_ROWS, FULL)
+    for i in range(0, len(found), 1024):
+        least = np.minimum(least, ((found[i:i + 1024, None] ^ add) * factor).min(axis=0))
+    out = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + row)
+    return out.view(np.int64)
+
+
+def _alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect all pairs that share a key and are similar."""
+    keys = np.array([band_keys(x) for x in sets]).reshape(len(sets), -1)
+    label, links = np.arange(len(sets)), []
+    for i in range(1, len(sets)):
+        met = np.flatnonzero((keys[:i] == keys[i]).any(axis=1))
+        met = met[label[met] != label[i]]
+        while len(met):
+            j = int(met[0])
+            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if shared >= similarity * (len(sets[i]) + len(sets[j]) - shared) - 1e-9:
+                links.append((i, j))
+                label[label == label[j]] = label[i]
+                met = met[label[met] != label[i]]
+            else:
+                met = met[1:]
+    return links
+
+
+def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """`doc_id`, `fp`, `set_a` and `set_b` (a digest of the set of shingles), `keys` of each row."""
+
+    def make():
+        from xxhash import xxh64_intdigest
+
+        def run(cols):
+            sets = [shingles(t) for t in cols["text"]]
+            digests = [np.array([xxh64_intdigest(x.tobytes(), s) for x in sets], dtype=np.uint64).view(np.int64) for s in (1, 2)]
+            prints = np.array([fingerprint(t) for t in cols["text"]], dtype=np.uint64)
+            return {"doc_id": cols["doc_id"], "fp": prints.view(np.int64), "set_a": digests[0], "set_b": digests[1],
+                    "keys": [band_keys(x) for x in sets]}
+
+        return run
+
+    return row_map(
+        docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), make,
+        "doc_id long, fp long, set_a long, set_b long, keys array<long>",
+    )
+
+
+def _verified(similarity: float):
+    def run(batches):
+        """Rows arrive sorted by g: whole groups are compared as soon as they are complete."""
+        held, group = [], None
+
+        def out():
+            links = _alike([x[1] for x in held], similarity)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([held[link[side]][0] for link in links], type=pa.int64()) for side in (0, 1)], names=["a", "b"]
+            )
+
+        for batch in batches:
+            for g, fp, text in zip(*[batch.column(c).to_pylist() for c in ("g", "fp", "text")]):
+                if g != group and held:
+                    yield out()
+                    held = []
+                group = g
+                held.append((fp, shingles(text)))
+        if held:
+            yield out()
+
+    return run
+
+
+def similar_links(sketched: DataFrame, docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """Links `a`, `b` between fingerprints of texts whose sets of shingles are equal or similar.
+
+    Sets under one key are candidates of each other. Every set of a connected group of candidates
+    meets every other of the group in some task, and only texts of such groups are shuffled.
+    """
+    sets = written(sketched.groupBy("set_a", "set_b").agg(
+        F.min("fp").alias("fp"), F.max("fp").alias("last"), F.first("keys").alias("keys")
+    ), "simhash-sets")
+    equal = sketched.select("set_a", "set_b", F.col("fp").alias("b")).distinct().join(
+        sets.where("fp <> last").select("set_a", "set_b", F.col("fp").alias("a")), ["set_a", "set_b"]
+    ).select("a", "b")
+    keyed = sets.select("set_a", F.explode("keys").alias("key"))
+    first = keyed.groupBy("key").agg(F.min("set_a").alias("b"), F.max("set_a").alias("last")).where("b <> last")
+    groups = components(keyed.join(first, "key").select(F.col("set_a").alias("a"), "b"))
+    members = written(
+        sets.select("set_a", "set_b", "fp").join(groups, F.col("set_a") == F.col("node")).select("set_a", "set_b", "fp", "root"),
+        "simhash-candidates",
+    )
+
+    def make():
+        from xxhash import xxh64_intdigest
+
+        def run(cols):
+            found = [shingles(t).tobytes() for t in cols["text"]]
+            a, b = [np.array([xxh64_intdigest(x, s) for x in found], dtype=np.uint64).view(np.int64) for s in (1, 2)]
+            return {"set_a": a, "set_b": b, "text": cols["text"]}
+
+        return run
+
+    named = row_map(docs.select(F.col(text).alias("text")), make, "set_a long, set_b long, text string")
+    texts = parted_by_ids(named, members, "set_a")[1].groupBy("set_a", "set_b").agg(F.min("text").alias("text"))
+    pieces = F.ceil(F.col("n") / TEXTS).cast("int")
+    own = F.pmod(F.xxhash64("set_a", "set_b"), pieces).cast("int")
+    others = F.when(pieces == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), pieces - 1), own))
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    grouped = (
+        members.join(sizes, "root").join(texts, ["set_a", "set_b"])
+        .select("fp", "text", "root", own.alias("own"), F.explode(others).alias("other"))
+        .select("fp", "text", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("g"))
+        .repartition("g").sortWithinPartitions("g")
+    )
+    return grouped.mapInArrow(_verified(similarity), "a long, b long").unionByName(equal)
+
+
 def near_links(prints: DataFrame) -> DataFrame:
     """Links `a`, `b` between distinct fingerprints (`fp`): all that are within the radius are
     connected by them. Every pair within the radius has been compared."""
@@ -215,18 +374,25 @@ def near_links(prints: DataFrame) -> DataFrame:
     return grouped.mapInArrow(_compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                    similarity: float | None = SIMILARITY) -> DataFrame:
     """One row per document: `doc_id`, `fingerprint` (16 hex digits), `component_id`.
 
-    `component_id` is the smallest id reachable over links of at most two differing bits.
+    `component_id` is the smallest id reachable over links of at most two differing bits
+    and, unless `similarity` is None, links of texts with at least this Jaccard similarity of their
+    distinct 5-word shingles.
     Texts are split at ASCII white space after lower-casing A-Z. Null, empty and blank texts have
     fingerprint zero and link like any other. A row with a null id has a component too, that of
     the others in it (null if all ids are null). Repeated rows come out as often as they come in.
     Equal fingerprints are one node, so copies are never paired; an empty table stays empty.
     """
-    prints = written(fingerprints(docs, doc_id, text), "simhash")
+    alike = similarity is not None
+    prints = written(sketches(docs, doc_id, text) if alike else fingerprints(docs, doc_id, text), "simhash")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(near_links(distinct.select("fp")))
+    links = near_links(distinct.select("fp"))
+    if alike:
+        links = links.unionByName(similar_links(prints, docs, text, similarity))
+    roots = components(links)
     linked = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )

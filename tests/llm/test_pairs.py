@@ -107,6 +107,39 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("most", [1024, 4])
+def test_similar_texts(spark, monkeypatch, most):
+    """All pairs at 0.8 of 5-word shingles are connected, no other, also where groups are cut into pieces."""
+    monkeypatch.setattr(simhash, "TEXTS", most)
+    rng = np.random.default_rng(5)
+    texts = [None, "", "one two", "one  TWO", "one two three"]
+    for _ in range(6):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 90)]
+        for changes in (0, 1, 1, 1, 2, 2, 3, 4):
+            words = list(base)
+            for at in rng.integers(0, 90, changes):
+                words[at] = f"x{rng.integers(5000)}"
+            texts.append(" ".join(words))
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    sets, prints = [grams(t) for t in texts], [simhash_by_hand(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    near = [(i, j) for i, j in pairs if bin(prints[i] ^ prints[j]).count("1") <= 2]
+    alike = [(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(set(alike) - set(near)) > 20
+    docs = frame(spark, list(enumerate(texts)))
+    for similarity, links in ((0.8, near + alike), (None, near)):
+        got = simhash.near_duplicates(docs, similarity=similarity).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(roots(len(texts), links)))
+    import corpus_pipeline
+
+    kept = corpus_pipeline.near_copies_removed(spark, docs, "").select("doc_id").collect()
+    assert sorted(r[0] for r in kept) == sorted(set(roots(len(texts), near + alike)))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (5, 4)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
