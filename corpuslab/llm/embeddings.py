@@ -4,9 +4,9 @@ Distinct vectors are dealt to overlapping clusters. In each cluster every vector
 robust-pruned list of neighbours; lists of vectors that stand in several clusters are united. Every
 vector then searches the clusters nearest to it: greedy walks from the cluster's medoids come close
 to it, and from what is near enough the search widens over neighbours for as long as they are in
-range. Cosines of reported links are computed in double precision from the vectors themselves. The
-recall is audited against brute force, and more clusters are searched until it is high enough; with
-all clusters searched and small clusters compared whole, nothing is missed.
+range. Cosines of reported links are computed in double precision from the vectors themselves. Each
+run's recall is audited against brute force, and more clusters are searched until it is high enough;
+if it is not with all of them, every vector is compared with all members of all clusters in blocks.
 """
 
 from __future__ import annotations
@@ -32,8 +32,11 @@ SAMPLE, MOST_CLUSTERS = 20_000, 4096
 DEGREE, DEGREE_BOTH, NEAREST, RANDOM, ALPHA = 24, 64, 64, 24, 1.2
 #: Medoids of a cluster, walks of a query, and how far below the threshold the search still widens.
 MEDOIDS, WALKS, SLACK = 24, 4, 0.03
-#: Queries that a task works on at once, and those audited.
-BLOCK, AUDITED = 256, 200
+#: Queries that a task works on at once.
+BLOCK = 256
+#: Vectors of every how many'th id are audited, in blocks of about so many; of ids without such a
+#: one, a block of all vectors is.
+EVERY, AUDITED = 50, 2048
 LEAST_RECALL = 0.9
 
 
@@ -169,17 +172,36 @@ def in_range(raw: np.ndarray, lists: np.ndarray, queries: np.ndarray, own: np.nd
     return np.concatenate([none, *found_q]), np.concatenate([none, *found_m])
 
 
+def in_blocks(raw: np.ndarray, queries: np.ndarray, own: np.ndarray, threshold: float):
+    """(query, member) positions of all links, as `in_range`, by comparing each query with each member."""
+    size = np.linalg.norm(raw, axis=1)
+    found_q, found_m = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for at in range(0, len(queries), BLOCK):
+        q = queries[at:at + BLOCK]
+        q_size = np.linalg.norm(q, axis=1)
+        by, to = np.nonzero((q @ raw.T) / (q_size[:, None] * size) >= threshold - 1e-9)
+        other = own[at:at + BLOCK][by] != to
+        by, to = by[other], to[other]
+        for k in range(0, len(by), 65536):
+            b, t = by[k:k + 65536], to[k:k + 65536]
+            hit = np.einsum("nd,nd->n", q[b], raw[t]) / (q_size[b] * size[t]) >= threshold
+            found_q.append(b[hit] + at)
+            found_m.append(t[hit])
+    return np.concatenate(found_q), np.concatenate(found_m)
+
+
 # ---------------------------------------------------------------- over all
 
 
 def distinct_vectors(rows: DataFrame) -> DataFrame:
-    """`node`, `v`, `first_id`, `copies` of the distinct usable vectors of `id`, `v`."""
+    """`node`, `v`, `first_id`, `copies`, `audited` of the distinct usable vectors of `id`, `v`."""
     usable = (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable &= F.exists("v", lambda x: x != 0)
     distinct = rows.where(F.col("v").isNotNull() & usable).groupBy("v").agg(
-        F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")
+        F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"),
+        F.max(F.coalesce(F.col("id") % EVERY == 0, F.lit(False))).alias("audited"),
     )
-    return written(distinct.select(F.monotonically_increasing_id().alias("node"), "v", "first_id", "copies"), "vectors")
+    return written(distinct.select(F.monotonically_increasing_id().alias("node"), "v", "first_id", "copies", "audited"), "vectors")
 
 
 def centres(nodes: DataFrame, dimension: int, count: int) -> np.ndarray:
@@ -236,7 +258,7 @@ def _graph(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": ids, "near": [ids[r[r >= 0]].tolist() for r in lists]})
 
 
-def _search(threshold: float):
+def _search(threshold: float, exact: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         members = pdf[pdf["member"]].drop_duplicates("node")
         queries = pdf[~pdf["member"]]
@@ -260,7 +282,11 @@ def _search(threshold: float):
             forward.append(at[at >= 0])
         query_ids = queries["node"].to_numpy()
         own = position(query_ids)
-        by, to = in_range(raw, both_ways(forward, n), np.array(queries["v"].tolist(), dtype=np.float64), own, threshold)
+        asked = np.array(queries["v"].tolist(), dtype=np.float64)
+        if exact:
+            by, to = in_blocks(raw, asked, own, threshold)
+        else:
+            by, to = in_range(raw, both_ways(forward, n), asked, own, threshold)
         # a pair is counted in the member's first home that the query searches
         homes = np.array([[h[0], h[-1]] for h in members["homes"]])
         probes = queries["probes"].tolist()
@@ -288,7 +314,8 @@ def _search(threshold: float):
     return run
 
 
-def _found(nodes: DataFrame, by_size: dict[int, np.ndarray], threshold: float, probes: int) -> DataFrame:
+def _found(nodes: DataFrame, by_size: dict[int, np.ndarray], threshold: float, probes: int,
+           exact: bool = False) -> DataFrame:
     """Rows `node`, `links` (with `other` -1) and edges `node`, `other` (with `links` 0)."""
     dealt = written(_dealt(nodes, by_size, probes), "dealt")
     held = dealt.select("node", "v", "copies", "homes", F.explode("homes").alias("cluster"))
@@ -312,18 +339,34 @@ def _found(nodes: DataFrame, by_size: dict[int, np.ndarray], threshold: float, p
     )
     return written(
         members.unionByName(queries).groupBy("cluster", "part", "lot")
-        .applyInPandas(_search(threshold), "node long, links long, other long"), "links",
+        .applyInPandas(_search(threshold, exact), "node long, links long, other long"), "links",
     )
 
 
-def audit(nodes: DataFrame, found: DataFrame, threshold: float, most: int = AUDITED) -> float:
-    """Share of the links of at most `most` vectors (smallest hashes) that `found` has, against
-    brute force over all vectors in blocks. 1 where they have none."""
-    asked = nodes.orderBy(F.xxhash64("v", F.lit("audit")), "node").limit(most).select("node", "v").collect()
-    if not asked:
-        return 1.0
-    ids = np.array([r[0] for r in asked])
-    vectors = [np.array(r[1], dtype=np.float64) for r in asked]
+def audit(nodes: DataFrame, found: DataFrame, threshold: float) -> float:
+    """Mean share of its links that `found` has of each vector that has links, over the vectors to be
+    audited, against brute force over all vectors. 1 where none has a link."""
+    asked = nodes.where("audited")
+    count = asked.count()
+    if not count:
+        asked = nodes.orderBy(F.xxhash64("v", F.lit("audit")), "node").limit(AUDITED)
+    blocks = max(1, -(-count // AUDITED))
+    got = found.where("other = -1").groupBy("node").agg(F.sum("links").alias("g"))
+    vectors, total = 0, 0.0
+    for k in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(blocks)) == k) if blocks > 1 else asked
+        rows = block.select("node", "v").collect()
+        if not rows:
+            continue
+        truth = _true_links(nodes, np.array([r[0] for r in rows]), [np.array(r[1], dtype=np.float64) for r in rows], threshold)
+        share = F.least("t", F.coalesce("g", F.lit(0))) / F.col("t")
+        n, shares = truth.where("t > 0").join(got, "node", "left").agg(F.count(F.lit(1)), F.sum(share)).first()
+        vectors, total = vectors + n, total + (shares or 0.0)
+    return total / vectors if vectors else 1.0
+
+
+def _true_links(nodes: DataFrame, ids: np.ndarray, vectors: list[np.ndarray], threshold: float) -> DataFrame:
+    """`node`, `t`: links of each of `vectors` with the vectors of other nodes, by brute force."""
 
     def make():
         def run(cols):
@@ -331,22 +374,19 @@ def audit(nodes: DataFrame, found: DataFrame, threshold: float, most: int = AUDI
             lengths = np.array([len(v) for v in cols["v"]])
             for d in {len(v) for v in vectors}:
                 rows, mine = np.flatnonzero(lengths == d), [i for i, v in enumerate(vectors) if len(v) == d]
-                if len(rows):
-                    x = np.array([cols["v"][i] for i in rows], dtype=np.float64)
-                    q = np.array([vectors[i] for i in mine])
+                if not len(rows):
+                    continue
+                q = np.array([vectors[i] for i in mine])
+                for part in np.array_split(rows, -(-len(rows) // 1024)):
+                    x = np.array([cols["v"][i] for i in part], dtype=np.float64)
                     c = (q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None])
-                    near = (c >= threshold) & (ids[mine][:, None] != np.array(cols["node"])[rows][None])
-                    total[mine] += near @ np.array(cols["copies"])[rows]
+                    near = (c >= threshold) & (ids[mine][:, None] != np.array(cols["node"])[part][None])
+                    total[mine] += near @ np.array(cols["copies"])[part]
             return {"node": ids, "links": total}
 
         return run
 
-    truth = row_map(nodes.select("node", "v", "copies"), make, "node long, links long").groupBy("node").agg(F.sum("links").alias("t"))
-    got = found.where("other = -1").groupBy("node").agg(F.sum("links").alias("g"))
-    row = truth.join(got, "node", "left").agg(
-        F.sum("t"), F.sum(F.least("t", F.coalesce("g", F.lit(0))))
-    ).first()
-    return row[1] / row[0] if row[0] else 1.0
+    return row_map(nodes.select("node", "v", "copies"), make, "node long, links long").groupBy("node").agg(F.sum("links").alias("t"))
 
 
 def near_vectors(rows: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding",
@@ -366,11 +406,12 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id
     sizes = {r[0]: r[1] for r in nodes.groupBy(F.size("v")).count().collect()}
     by_size = {d: centres(nodes, d, n) for d, n in sizes.items()}
     most = max([len(c) for c in by_size.values()], default=1)
+    exact = False
     while True:
-        found = _found(nodes, by_size, threshold, probes) if sizes else None
-        if found is None or probes >= most or audit(nodes, found, threshold) >= least_recall:
+        found = _found(nodes, by_size, threshold, probes, exact) if sizes else None
+        if found is None or exact or audit(nodes, found, threshold) >= least_recall:
             break
-        probes = min(most, 2 * probes)
+        exact, probes = probes >= most, min(most, 2 * probes)
     if found is None:
         return base.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     counts = found.where("other = -1").groupBy("node").agg(F.sum("links").alias("links"))

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from corpuslab.llm import decontaminate, embeddings, simhash
 from corpuslab.llm.common import components
@@ -249,6 +250,29 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert all(got[i]["kept"] == (got[i]["component_id"] == i) for i in range(400))
 
 
+def test_low_recall_is_seen_and_mended(spark, monkeypatch):
+    """A hot group hides no missed link, and few clusters are audited too and compared whole."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((300, 16))
+    x[60:160] = x[0] + 0.05 * rng.standard_normal((100, 16))
+    x[200:250] = x[150:200] + 0.05 * rng.standard_normal((50, 16))
+    x = x.astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    near = cosines(x) >= 0.95
+    links = near.sum(axis=1) - 1
+    assert (links > 50).sum() > 90 and ((links > 0) & (links < 5)).sum() > 50
+    nodes = embeddings.distinct_vectors(table.selectExpr("vec_id id", "embedding v")).withColumn("audited", F.lit(True))
+    node = {r["first_id"]: r["node"] for r in nodes.collect()}
+    hot = [(node[i], int(n), -1) for i, n in enumerate(links) if n > 50]
+    found = spark.createDataFrame(hot, "node long, links long, other long")
+    assert abs(embeddings.audit(nodes, found, 0.95) - len(hot) / (links > 0).sum()) < 1e-9
+    calls = []
+    monkeypatch.setattr(embeddings, "audit", lambda *a: calls.append(a) or 0.0)
+    got = {r["vec_id"]: r for r in embeddings.near_vectors(table).collect()}
+    assert len(calls) == 1 and [got[i]["n_links"] for i in range(300)] == links.tolist()
+    assert [got[i]["component_id"] for i in range(300)] == roots(300, zip(*np.nonzero(np.triu(near, 1))))
+
+
 def test_unusable_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []),
