@@ -20,9 +20,11 @@ def toxic_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told: a text that is null or has no letter goes."""
+    """Documents in which a language can be told: a text that is null or has no letter goes. All
+    others stay, whatever their language, also where no language was learned (no labelled row
+    outside the held-out fold) or one is itself named `und`."""
     judged = language_id.predict(docs, *language_id.learn(docs), keep=docs.columns)
-    return judged.where(F.col("lang_pred") != "und").select(*docs.columns)
+    return judged.where("has_letters").select(*docs.columns)
 
 
 def near_copies_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

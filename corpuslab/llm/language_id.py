@@ -141,7 +141,8 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, keep: list[str] | None = None,
             doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`doc_id`, `lang_pred`, `score` (the cosine, 0 where it is negative) of each row's whole text.
+    """`doc_id`, `lang_pred`, `score` (the cosine, 0 where it is negative), `has_letters` of each row's
+    whole text.
 
     `und` with score 0: text is null or has no letter, or nothing was learned. Ties go to the first
     name. Repeated rows are judged each; null ids stay null; an empty table stays empty. `keep`:
@@ -159,22 +160,23 @@ def _mapped(source: DataFrame, names: list[str], prototypes: np.ndarray, kept: l
         bind = binder()
 
         def best(text):
-            p = bind.profile(text) if names else None
-            if p is None:
-                return "und", 0.0
+            p = bind.profile(text)
+            if p is None or not names:
+                return "und", 0.0, p is not None
             cosines = prototypes @ p
             i = int(cosines.argmax())
-            return names[i], min(1.0, max(0.0, float(cosines[i])))
+            return names[i], min(1.0, max(0.0, float(cosines[i]))), True
 
         def run(cols):
             judged = [best(t) for t in cols["text"]]
             return {k: cols[k] for k in kept} | {
-                "lang_pred": [j[0] for j in judged], "score": [j[1] for j in judged]
+                "lang_pred": [j[0] for j in judged], "score": [j[1] for j in judged],
+                "has_letters": [j[2] for j in judged],
             }
 
         return run
 
-    return row_map(source, make, f"{ddl}, lang_pred string, score double")
+    return row_map(source, make, f"{ddl}, lang_pred string, score double, has_letters boolean")
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

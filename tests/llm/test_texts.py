@@ -396,6 +396,20 @@ def test_pipeline(spark, tmp_path):
     assert sorted(r["ids_crc32"] for r in run.collect()) == sorted(r["ids_crc32"] for r in docs.collect())
 
 
+@pytest.mark.parametrize("lang", [None, "und"])
+def test_language_stage_keeps_what_has_letters(spark, lang):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, t, lang, "s", 1) for i, t in enumerate(["the of and", "der die das", None, "", "12 !?", "漢", "x"])]
+    docs = spark.createDataFrame(rows, schema)
+    got = corpus_pipeline.language_known(spark, docs, SF)
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == [0, 1, 5, 6]
+    held_out = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0][:3]
+    docs = spark.createDataFrame([(i, "some words", "en", "s", 1) for i in held_out], schema)
+    assert corpus_pipeline.language_known(spark, docs, SF).count() == 3
+
+
 def test_simhash_stage_keeps_one_row(spark):
     import corpus_pipeline
 
