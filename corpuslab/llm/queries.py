@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -176,3 +177,152 @@ def op7_language_id(spark, folder):
     from corpuslab.llm.language_id import identify
 
     return identify(table(spark, folder, "documents"))
+
+
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """Conversations with faults by the checksum of each row's `conv_id:turn`, modulo 20: 0 drops the row, 1
+    empties its text, 2 takes its sentence marks, 3 repeats it, 4 makes it the user's. Nulls are one space."""
+    space = F.lit(" ")
+
+    def told(name: str):
+        return F.coalesce(F.col(name).cast("string"), space)
+
+    fault = F.crc32(F.concat(told("conv_id"), F.lit(":"), told("turn")).cast("binary")) % 20
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    return (
+        turns.select("conv_id", "turn", told("role").alias("role"), told("text").alias("text"), fault.alias("fault"))
+        .where("fault <> 0")
+        .select("conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+                F.explode(F.when(F.col("fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+        .drop("copy")
+    )
+
+
+@query
+def op11_structure_repair(spark, folder):
+    from corpuslab.llm.structure_repair import audit, repair
+
+    turns = table(spark, folder, "conversations")
+    return audit(repair(damaged_turns(turns)), turns)
+
+
+# Costs to finish from the four states go backward turn by turn, then edits forward.
+ORACLES["op11_structure_repair"] = r"""
+with recursive crc as (
+  select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: case when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end) order by i) as tab
+  from (select unnest(range(256)) as i)),
+told as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+  coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+f as (select told.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda c: ord(c)::bigint)),
+    lambda a, c: xor(a // 256, tab[xor(a % 256, c) + 1])), 4294967295) % 20 as fault from told, crc),
+d as (select conv_id, turn, case when fault = 4 then 'user' else role end as role,
+    case fault when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(case when fault = 3 then [0, 1] else [0] end) as copy from f where fault <> 0),
+o as (select conv_id, turn, role, text, row_number() over w as k, count(*) over (partition by conv_id) as m,
+    lag(role) over w as last_role, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) as mark,
+  from d window w as (partition by conv_id order by turn nulls first, role, text)),
+a as (select *, row_number() over (partition by conv_id, role, text order by k) > 1 as again from o),
+r as (select *, case when mark = '' then 1 when again then 2 when mark not in ('.', '!', '?') then 3 else 0 end as fault, substr(role, 1, 1) as i from a),
+x as (select *, fault in (1, 2) as gone, case when fault = 3 then 5 else 0 end as tr from r),
+b as (
+  select conv_id, m + 1 as k, 0 as w0, 10 as w1, 5 as w2, 0 as w3 from (select distinct conv_id, m from x)
+  union all
+  select conv_id, k, least(b0, 5 + b2, 10 + b3), least(b1, 5 + b2, 10 + b3), least(b2, 5 + b3), least(b3, 5 + b2) from (
+    select x.conv_id, x.k,
+      least(2 + w0, case when not gone then least(1 + tr + w2, case i when 's' then tr + w1 when 'u' then tr + w2 end) end) as b0,
+      least(2 + w1, case when not gone then least(1 + tr + w2, case i when 'u' then tr + w2 end) end) as b1,
+      least(2 + w2, case when not gone then least(1 + tr + w3, case i when 'a' then tr + w3 end) end) as b2,
+      least(2 + w3, case when not gone then least(1 + tr + w2, case i when 'u' then tr + w2 end) end) as b3
+    from b join x on x.conv_id is not distinct from b.conv_id and x.k = b.k - 1)),
+v as (select b.conv_id, b.k, [w0, w1, w2, w3] as w, lead([w0, w1, w2, w3]) over (partition by b.conv_id order by b.k) as after,
+    x.role, x.text, x.i, x.gone, x.tr from b left join x on x.conv_id is not distinct from b.conv_id and x.k = b.k),
+t as (
+  select conv_id, 1::bigint as k, 1 as st, '' as audit, []::varchar[] as said, true as going from (select distinct conv_id from x)
+  union all
+  select conv_id, case when e in ('K', 'R', 'D') then k + 1 else k end, case when e = 'D' or e is null then st when e = 'K' then keep else nxt end,
+    audit || coalesce(e, ''), case when e is null or e = 'D' then said when e = 'K' then list_append(said, role || ':' || text)
+      else list_append(said, case nxt when 3 then 'user:' else 'assistant:' end || case e when 'R' then text else '' end) end, e is not null
+  from (select *, case when role is not null and 2 + after[st] = w[st] then 'D' when 5 + w[nxt] = w[st] then 'I'
+      when role is not null and not gone and keep > 0 and tr + after[keep] = w[st] then 'K' when role is not null then 'R' end as e from (
+    select t.conv_id, t.k, st, audit, said, w, after, role, text, gone, tr, [3, 3, 4, 3][st] as nxt,
+      case when i = 's' and st = 1 then 2 when i = 'u' and st <> 3 then 3 when i = 'a' and st = 3 then 4 else 0 end as keep
+    from t join v on v.conv_id is not distinct from t.conv_id and v.k = t.k where going))),
+done as (select conv_id, audit, said from t where not going),
+sums as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 1) as blank,
+    count(*) filter (fault = 2) as duplicate, count(*) filter (fault = 3) as truncated,
+    count(*) filter (last_role is not null and substr(last_role, 1, 1) || i not in ('su', 'ua', 'au')) as illegal from x group by conv_id)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+  coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(w0, 0)::bigint as cost,
+  coalesce(audit, '') as audit, sha256(coalesce(array_to_string(said, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join sums on sums.conv_id is not distinct from c.conv_id
+left join done on done.conv_id is not distinct from c.conv_id
+left join (select conv_id, w0 from b where k = 1) s on s.conv_id is not distinct from c.conv_id
+"""
+
+#: Weights over training time of the sources in turn, with integrals 1, 2 and 3: one even, one that comes
+#: late and one that comes early.
+SCHEDULES = [[(0, 1), (1, 1)], [(0, 1), (1, 3)], [(0, 4), (1, 2)]]
+
+
+@query
+def op12_curriculum_mixing(spark, folder):
+    from corpuslab.llm.curriculum import in_first_order, mixed
+
+    mix = in_first_order(mixed(table(spark, folder, "documents"), SCHEDULES, share=1.0, repeats=3))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", F.round("first_time", 9).alias("first_time"))
+
+
+ORACLES["op12_curriculum_mixing"] = r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+    md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')) as o from documents),
+s as (select source, sum(size)::bigint as source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 as w from d group by source),
+c as (select *, row_number() over (order by 3 * source_size / w, source) as k, 3 * source_size as cap, coalesce(sum(3 * source_size) over before, 0) as given, sum(w) over after as free, sum(source_size) over () as total
+  from s window before as (order by 3 * source_size / w, source rows between unbounded preceding and 1 preceding),
+    after as (order by 3 * source_size / w, source rows between current row and unbounded following)),
+l as (select arg_min(level, k) as level from (select (total - given)::double / free::double as level, cap, w, k from c) where cap >= level * w),
+g as (select source, source_size, w, least(cap::double, w * level) as target from c, l),
+p as (select d.*, source_size, w, target, floor(target)::bigint as wanted,
+    (sum(size) over (partition by d.source order by o, doc_id, size rows unbounded preceding) - size)::bigint as place
+  from d join g on g.source is not distinct from d.source),
+y as (select *, place::double / nullif(wanted, 0) * w as y from p)
+select doc_id, size, source_size, target,
+  case when source_size = 0 then 0 else wanted // source_size * size + least(size, greatest(0, wanted % source_size - place)) end::bigint as taken,
+  case when size > 0 and wanted > place then round(case w when 1 then least(2 * y / (1.0::double + 1.0::double), 1)
+    when 2 then least(2 * y / (1.0::double + sqrt(1.0::double + 4 * y)), 1) else least(2 * y / (4.0::double + sqrt(16.0::double - 4 * y)), 1) end, 9) end as first_time
+from y
+"""
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Documents of which every tenth, by the checksum of its id, goes on periodically from one of its words."""
+    from corpuslab.functions.arrays import let
+
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def looped(words):
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return F.array_join(F.transform(words, lambda w, i: F.when(i >= a, F.get(words, a + (i - a) % p)).otherwise(w)), " ")
+
+    changed = let(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)), looped)
+    return docs.select("doc_id", F.when(h % 10 == 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark, folder):
+    from corpuslab.llm.periodic_runs import periodic_runs
+
+    found = periodic_runs(with_periods(table(spark, folder, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    shown = F.transform("runs", lambda r: F.concat(
+        F.array_join(F.array(*[r[k].cast("string") for k in ("start", "length", "period")]), ","), F.lit("\n")))
+    return found.withColumn("best", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(shown, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
