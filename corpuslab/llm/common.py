@@ -72,6 +72,14 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
+def fresh(base: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, in any case of letters."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Writes `df` to the shared folder and reads it back: computed once, and safe when executors go."""
     path = scratch_path(df.sparkSession, label)

@@ -140,22 +140,25 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 
 def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, keep: list[str] | None = None,
-            doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+            doc_id: str = "doc_id", text: str = "text",
+            added: tuple[str, str, str] = ("lang_pred", "score", "has_letters")) -> DataFrame:
     """`doc_id`, `lang_pred`, `score` (the cosine, 0 where it is negative), `has_letters` of each row's
     whole text.
 
     `und` with score 0: text is null or has no letter, or nothing was learned. Ties go to the first
     name. Repeated rows are judged each; null ids stay null; an empty table stays empty. `keep`:
-    columns of `docs` to carry along in place of the id.
+    columns of `docs` to carry along in place of the id. `added`: the names of the three new columns,
+    none of which may be one of those.
     """
     if keep is None:
         source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        return _mapped(source, names, prototypes, ["doc_id"], "doc_id long")
+        return _mapped(source, names, prototypes, ["doc_id"], "doc_id long", added)
     return _mapped(docs.select(*keep), names, prototypes, keep,
-                   ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema))
+                   ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), added)
 
 
-def _mapped(source: DataFrame, names: list[str], prototypes: np.ndarray, kept: list[str], ddl: str) -> DataFrame:
+def _mapped(source: DataFrame, names: list[str], prototypes: np.ndarray, kept: list[str], ddl: str,
+            added: tuple[str, str, str]) -> DataFrame:
     def make():
         bind = binder()
 
@@ -169,14 +172,11 @@ def _mapped(source: DataFrame, names: list[str], prototypes: np.ndarray, kept: l
 
         def run(cols):
             judged = [best(t) for t in cols["text"]]
-            return {k: cols[k] for k in kept} | {
-                "lang_pred": [j[0] for j in judged], "score": [j[1] for j in judged],
-                "has_letters": [j[2] for j in judged],
-            }
+            return {k: cols[k] for k in kept} | {n: [j[i] for j in judged] for i, n in enumerate(added)}
 
         return run
 
-    return row_map(source, make, f"{ddl}, lang_pred string, score double, has_letters boolean")
+    return row_map(source, make, ddl + ", `{}` string, `{}` double, `{}` boolean".format(*added))
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

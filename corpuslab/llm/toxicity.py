@@ -346,8 +346,9 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def score(docs: DataFrame, network: Network, keep: list[str] | None = None, doc_id: str = "doc_id",
-          text: str = "text") -> DataFrame:
-    """`doc_id` (or the columns `keep`, which must have `text`) and `score` of each row's whole text.
+          text: str = "text", name: str = "score") -> DataFrame:
+    """`doc_id` (or the columns `keep`, which must have `text`) and `score` of each row's whole text, under
+    `name`, which must not be one of them.
 
     Null, empty and blank texts get the score of a window without words. Repeated rows are scored
     each; null ids stay null; an empty table stays empty.
@@ -358,19 +359,19 @@ def score(docs: DataFrame, network: Network, keep: list[str] | None = None, doc_
     else:
         source, kept = docs.select(*keep), keep
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*kept).schema)
-    shared, name = docs.sparkSession.sparkContext.broadcast(network), uuid.uuid4().hex
+    shared, learned = docs.sparkSession.sparkContext.broadcast(network), uuid.uuid4().hex
 
     def make():
-        windows = _windows(name, shared)
+        windows = _windows(learned, shared)
 
         def run(cols):
             a, b = shared.value.curve
             p = 1 / (1 + np.exp(-np.clip(a * windows.logits(cols["text"]).astype(np.float64) + b, -30, 30)))
-            return {k: cols[k] for k in kept} | {"score": p}
+            return {k: cols[k] for k in kept} | {name: p}
 
         return run
 
-    return row_map(source, make, f"{ddl}, score double")
+    return row_map(source, make, f"{ddl}, `{name}` double")
 
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
