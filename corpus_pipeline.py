@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.llm import decontaminate, language_id, packing, queries, simhash, toxicity
-from corpuslab.llm.common import parted_by_ids, written
+from corpuslab.llm.common import fresh, parted_by_ids, written
 
 #: The stages learn, hash and search: no SQL says their rows, tests hold them against brute force.
 ORACLE_SQL = None
@@ -15,16 +15,18 @@ ORACLE_SQL = None
 def toxic_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, trained on `labels`, does not call toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score(docs, toxicity.learn(docs, labels), keep=docs.columns)
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    score = fresh("toxic_score", docs)
+    scored = toxicity.score(docs, toxicity.learn(docs, labels), keep=docs.columns, name=score)
+    return scored.where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def language_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language can be told: a text that is null or has no letter goes. All
     others stay, whatever their language, also where no language was learned (no labelled row
     outside the held-out fold) or one is itself named `und`."""
-    judged = language_id.predict(docs, *language_id.learn(docs), keep=docs.columns)
-    return judged.where("has_letters").select(*docs.columns)
+    added = tuple(fresh(n, docs) for n in ("lang_pred", "lang_score", "has_letters"))
+    judged = language_id.predict(docs, *language_id.learn(docs), keep=docs.columns, added=added)
+    return judged.where(F.col(added[2])).select(*docs.columns)
 
 
 def near_copies_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,19 +35,20 @@ def near_copies_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     repeated rows of that id the one whose text comes first. Rows without an id stand for
     themselves only."""
     groups = simhash.near_duplicates(docs).where("doc_id is not null")
-    special = written(
-        groups.groupBy("doc_id").agg(
-            F.count(F.lit(1)).alias("copies"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")
-        ).where("copies > 1 or not stays"), "simhash-special",
+    special, stays = fresh("special_id", docs), fresh("stays", docs)
+    removed = written(
+        groups.groupBy(F.col("doc_id").alias(special)).agg(
+            F.count(F.lit(1)).alias("copies"), F.max(F.col("doc_id") == F.col("component_id")).alias(stays)
+        ).where(f"copies > 1 or not {stays}").drop("copies"), "simhash-special",
     )
-    others, concerned = parted_by_ids(docs, special, "doc_id")
-    ids = special.select(F.col("doc_id").alias("special_id"), "stays")
+    others, concerned = parted_by_ids(docs, removed.select(F.col(special).alias("doc_id")), "doc_id")
     columns = [c for c in docs.columns if c not in ("doc_id", "text")]
+    in_order = [F.to_json(F.struct(c)) if "map<" in docs.schema[c].dataType.simpleString() else F.col(c) for c in columns]
     best = (
-        concerned.join(ids, F.col("doc_id") == F.col("special_id"), "left").where("special_id is null or stays")
-        .groupBy("doc_id").agg(F.min(F.struct("text", *columns)).alias("row"))
+        concerned.join(removed, F.col("doc_id") == F.col(special), "left").where(F.col(special).isNull() | F.col(stays))
+        .groupBy("doc_id").agg(F.min_by(F.struct("text", *columns), F.struct("text", *in_order)).alias("row"))
     )
-    fields = [F.col("doc_id") if c == "doc_id" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    fields = [F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns]
     return others.unionByName(best.select(*fields))
 
 
