@@ -181,3 +181,40 @@ STATEMENT_GAPS = {
     "javascript": {"assignment": ["assignment_expression"]},
     "go": {"declaration": ["short_var_declaration"], "increment": ["dec_statement"]},
 }
+
+# What a labelled child is to its statement, per language ("" for all) and role.
+SIDE_FIELDS = {
+    ("", "declaration"): {"name": "lhs", "value": "rhs"},
+    ("php", "declaration"): {"default_value": "rhs"},
+    ("", "assignment"): {"left": "lhs", "right": "rhs"},
+    ("java", "for_each"): {"name": "lhs", "value": "rhs", "body": "body"},
+    ("c_sharp", "for_each"): {"left": "lhs", "right": "rhs", "body": "body"},
+    ("php", "for_each"): {"body": "body"},
+    ("python", "for"): {"left": "lhs", "right": "rhs", "body": "body"},
+    ("ruby", "for"): {"pattern": "lhs", "value": "rhs", "body": "body"},
+}
+# The same where children have no labels, by their place.
+SIDE_PLACES = {
+    ("c_sharp", "declaration"): {0: "lhs", 1: "rhs"},
+    ("php", "for_each"): {2: "rhs", 4: "lhs"},
+}
+# Children of an if that start a branch of their own, with all that follows them.
+BRANCH_TYPES = {
+    "python": ["elif_clause", "else_clause"],
+    "java": ["if_statement", "else"],
+    "c_sharp": ["if_statement", "else"],
+    "ruby": ["if", "elsif", "else", "unless", "when"],
+    "go": ["if_statement", "else"],
+    "php": ["if_statement", "else_clause"],
+    "javascript": ["if_statement", "else"],
+}
+# Languages whose state before an if goes on behind it even with an else.
+KEEPS_BEFORE = ("go", "php", "javascript")
+# The child of a for loop behind which its second pass starts.
+LOOP_ENTRY = {
+    "java": "local_variable_declaration",
+    "c_sharp": "local_variable_declaration",
+    "go": "for_clause",
+    "php": "assignment_expression",
+    "javascript": "variable_declaration",
+}

@@ -120,43 +120,49 @@ def increments(occ: DataFrame) -> DataFrame:
     )
 
 
-def _settled(occ: list[dict], edges: list[dict]) -> list[tuple[int, list[int]]]:
-    """(place of a use, its definitions) in one text, by bit sets over its definitions."""
-    rows = sorted((o["block"], o["eo"], o["pos"], o["name"], o["role"]) for o in occ)
-    before: dict[int, list[int]] = {r[0]: [] for r in rows}
-    for e in edges:
-        before.setdefault(e["block"], [])
-        before.setdefault(e["succ"], []).append(e["block"])
+#: Facts (a name in a block) of one text that are settled together, about.
+MOST_FACTS = 4096
+
+
+def _reached(facts: list[tuple], edges: list[tuple]) -> list[tuple[int | None, list[int]]]:
+    """For facts (name, block, definition, candidate for a first sight): the first sight's place, and the
+    definitions that reach the block's start. A bit stands for a name, then for a definition."""
+    before: dict[int, list[int]] = {f[1]: [] for f in facts}
+    for block, succ in edges:
+        before.setdefault(block, [])
+        before.setdefault(succ, []).append(block)
     order = sorted(before)
-    inside: dict[int, list] = {b: [] for b in order}
-    for r in rows:
-        inside[r[0]].append(r)
+    inside: dict[int, list[int]] = {}
+    for i, f in enumerate(facts):
+        inside.setdefault(f[1], []).append(i)
     number: dict[str, int] = {}
-    seen, first_sight = {}, {}  # names known at the end of a block; uses that define their name
+    known: dict[int, int] = {}
+    sights: list[int | None] = [None] * len(facts)
     for b in order:
-        known = 0
+        names = 0
         for p in before[b]:
-            known |= seen.get(p, 0)  # blocks that follow in the text have not been read yet
-        for _, _, pos, name, role in inside[b]:
+            names |= known.get(p, 0)  # blocks that follow in the text have not been read yet
+        here = 0
+        for i in inside.get(b, ()):
+            name, _, _, sight = facts[i]
             bit = 1 << number.setdefault(name, len(number))
-            if not known & bit and role == "rhs":
-                first_sight[b, name] = pos
-            known |= bit
-        seen[b] = known
+            if not names & bit:
+                sights[i] = sight
+            here |= bit
+        known[b] = names | here
     places: list[int] = []
     of_name: dict[str, int] = {}
-    gen, kept = dict.fromkeys(order, 0), {}
-    for b in order:
-        last = {name: pos for _, _, pos, name, role in inside[b] if role == "lhs"}
-        sights = {n: first_sight[b, n] for n in {r[3] for r in inside[b]} if n not in last and (b, n) in first_sight}
-        for name, pos in (last | sights).items():
-            bit = 1 << len(places)
-            places.append(pos)
-            of_name[name] = of_name.get(name, 0) | bit
-            gen[b] |= bit
-        kept[b] = list(last)
+    gen, stopped = dict.fromkeys(order, 0), {}
+    for i, (name, b, place, _) in enumerate(facts):
+        if place is not None:
+            stopped.setdefault(b, []).append(name)
+        place = sights[i] if place is None else place
+        if place is not None:
+            of_name[name] = of_name.get(name, 0) | 1 << len(places)
+            gen[b] |= 1 << len(places)
+            places.append(place)
     every = (1 << len(places)) - 1
-    keep = {b: every & ~sum(of_name[n] for n in kept[b]) for b in order}
+    keep = {b: every & ~sum(of_name[n] for n in names) for b, names in stopped.items()}
     entry, leave = dict.fromkeys(order, 0), dict(gen)
     changed = True
     while changed:  # in text order: once, and once more for each level of loops that matters
@@ -167,62 +173,79 @@ def _settled(occ: list[dict], edges: list[dict]) -> list[tuple[int, list[int]]]:
                 now |= leave[p]
             if now != entry[b]:
                 entry[b], changed = now, True
-                leave[b] = gen[b] | now & keep[b]
+                leave[b] = gen[b] | now & keep.get(b, every)
     out = []
-    for b in order:
-        local: dict[str, int] = {}
-        for _, _, pos, name, role in inside[b]:
-            if role == "lhs":
-                local[name] = pos
-                continue
-            if name in local:
-                out.append((pos, [local[name]]))
-                continue
-            sight, reach, found = first_sight.get((b, name)), entry[b] & of_name.get(name, 0), set()
-            if sight is not None and sight != pos:
-                found.add(sight)
-            while reach:
-                low = reach & -reach
-                found.add(places[low.bit_length() - 1])
-                reach ^= low
-            out.append((pos, sorted(found)))
+    for i, (name, b, _, _) in enumerate(facts):
+        reach, found = entry[b] & of_name.get(name, 0), []
+        while reach:
+            low = reach & -reach
+            found.append(places[low.bit_length() - 1])
+            reach ^= low
+        out.append((sights[i], found))
     return out
 
 
-def reaching_definitions(occ: DataFrame, blocks: DataFrame) -> DataFrame:
+def block_facts(occ: DataFrame) -> DataFrame:
+    """What a block knows of a name: ex, side, name, block, `place` (its last definition), `sight` (its first
+    occurrence, if a use) and `uses` (place, and the definition before it in the block)."""
+    eo = F.col("eo") if "eo" in occ.columns else evaluation_order()
+    key = [*UNIT, "name", "block"]
+    order = Window.partitionBy(*key).orderBy("_eo", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.when(F.col("role") == "lhs", F.col("pos"))
+    seen = occ.select(*key, eo.alias("_eo"), "pos", "role", place.alias("_def")).withColumn(
+        "_local", F.last("_def", ignorenulls=True).over(order))
+    at = F.struct("_eo", "pos")
+    return seen.groupBy(*key).agg(
+        F.max_by("_def", F.when(F.col("_def").isNotNull(), at)).alias("place"),
+        F.min_by(F.when(F.col("role") == "rhs", F.col("pos")), at).alias("sight"),
+        F.collect_list(F.when(F.col("role") == "rhs", F.struct("pos", F.col("_local").alias("local")))).alias("uses"),
+    )
+
+
+def reaching_definitions(occ: DataFrame, blocks: DataFrame, most: int = MOST_FACTS) -> DataFrame:
     """Uses with every definition that reaches them over a block graph.
 
-    `occ` has a `block` column; blocks are numbered in text order. A definition stops where the
-    name is defined again. The first sight of a name defines it without a parent, if no block
-    before it in the text, from which it can be reached, holds the name; such a definition adds
-    to others that come back over a loop. One text's occurrences and edges meet in one row, as
-    its text did; bit sets then settle in as many passes as loops are nested, not in jobs.
+    `occ` has a `block` column, and may have `eo`, the order of evaluation; blocks are numbered in
+    text order. A definition stops where the name is defined again. The first sight of a name defines
+    it without a parent, if no block before it in the text, from which it can be reached, holds the
+    name; such a definition adds to others that come back over a loop.
+
+    Names do not depend on each other. Each block first settles its own uses and keeps one fact for
+    each name, in a window and a grouping. Facts of a text are then dealt by name into groups of about
+    `most`, so a long text is spread over tasks, each of which holds the text's block graph and bit sets
+    of one group's definitions. A chain of blocks is one pass, not a job for each.
     """
-    occurrence = F.struct("block", evaluation_order().alias("eo"), "pos", "name", "role")
-    texts = occ.groupBy(*UNIT).agg(F.collect_list(occurrence).alias("occ"))
+    facts = block_facts(occ)
+    large = facts.groupBy(*UNIT).agg(F.ceil(F.count(F.lit(1)) / most).alias("_lots")).where("_lots > 1")
+    fact = F.struct("name", "block", "place", "sight", "uses")
+    dealt = facts.join(large, UNIT, "left").withColumn(
+        "_lot", F.pmod(F.xxhash64("name"), F.coalesce("_lots", F.lit(1))))
+    groups = dealt.groupBy(*UNIT, "_lot").agg(F.collect_list(fact).alias("facts"))
     graphs = blocks.groupBy(*UNIT).agg(F.collect_list(F.struct("block", "succ")).alias("edges"))
 
     def run(batches):
         for batch in batches:
-            ex, side, names, places, parents = [], [], [], [], []
-            for e, s, o, g in zip(*(batch.column(c).to_pylist() for c in ("ex", "side", "occ", "edges"))):
-                name_at = {x["pos"]: x["name"] for x in o}
-                for pos, found in _settled(o, g or []):
-                    ex.append(e)
-                    side.append(s)
-                    names.append(name_at[pos])
-                    places.append(pos)
-                    parents.append(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ex, pa.int64()), pa.array(side, pa.string()), pa.array(names, pa.string()),
-                 pa.array(places, pa.int64()), pa.array(parents, pa.list_(pa.int64()))],
-                names=[*UNIT, "name", "pos", "parent_pos"],
-            )
-
-    settled = texts.join(graphs, UNIT, "left").select(*UNIT, "occ", "edges").mapInArrow(
-        run, "ex bigint, side string, name string, pos bigint, parent_pos array<bigint>"
+            for row in range(batch.num_rows):  # one group at a time
+                part = batch.slice(row, 1)
+                held = part.column("facts")[0].values
+                name, block, place, sight, uses = (held.field(c) for c in ("name", "block", "place", "sight", "uses"))
+                graph = part.column("edges")[0].values
+                pairs = [] if graph is None else list(zip(*(graph.field(c).to_pylist() for c in ("block", "succ"))))
+                found = _reached(list(zip(name.to_pylist(), block.to_pylist(), place.to_pylist(), sight.to_pylist())), pairs)
+                n = len(found)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part.column("ex")[0].as_py()] * n, pa.int64()), pa.array([part.column("side")[0].as_py()] * n, pa.string()),
+                     name, pa.array([s for s, _ in found], pa.int64()), pa.array([r for _, r in found], pa.list_(pa.int64())), uses],
+                    names=[*UNIT, "name", "sight", "reach", "uses"],
+                )
+
+    settled = groups.join(graphs, UNIT, "left").select(*UNIT, "facts", "edges").mapInArrow(
+        run, "ex bigint, side string, name string, sight bigint, reach array<bigint>, uses array<struct<pos:bigint,local:bigint>>"
     )
-    return settled.select(
+    use = settled.where(F.size("uses") > 0).select(*UNIT, "name", "sight", "reach", F.inline("uses"))
+    own = F.when(F.col("sight") != F.col("pos"), F.array("sight")).otherwise(_no_pos())
+    parents = F.when(F.col("local").isNotNull(), F.array("local")).otherwise(F.array_sort(F.array_union("reach", own)))
+    return use.select(*UNIT, "name", "pos", parents.alias("parent_pos")).select(
         *UNIT, "name", "pos", F.lit("comesFrom").alias("relation"),
         F.when(F.size("parent_pos") > 0, F.array("name")).otherwise(_no_names()).alias("parent_names"),
         "parent_pos",

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from corpuslab.plans import code_trees
+
 # name -> SQL over the given tables and other names of this dictionary
 TABLES: dict[str, str] = {
     "segments": r"""
@@ -247,6 +249,8 @@ TABLES: dict[str, str] = {
         join seg_recall w using (model, idx) join syntax s using (model, idx) join dataflow d using (model, idx)""",
 }
 
+TABLES |= code_trees.SQL
+
 _NAME = re.compile(r"\b(?:from|join)\s+([a-z_]+)")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions.arrays import joined
 from corpuslab.functions.text import snippet_lines
-from corpuslab.operators import flow, trees
+from corpuslab.operators import flow, structure, trees
 from corpuslab.plans.registry import query
 
 EDGE_COLS = ["ex", "side", "name", "pos", "relation"]
@@ -145,9 +145,7 @@ def flow_increments(t):
 
 # Reaching definitions over the block graph: names seen before in the text, facts of blocks' ends
 # (first sights add to what comes back over a loop), then what enters each block.
-REACH = """
-    with recursive o as (select *, stmt//2 as block, stmt*2+(case when role='lhs' then 1 else 0 end) as eo from occ),
-    b as (select ex, side, block, succ from blocks where {edges}),
+REACH_FACTS = """
     seen as (select distinct ex, side, name, block from o
       union select s.ex, s.side, s.name, b.succ from seen s join b on b.ex=s.ex and b.side=s.side and b.block=s.block and b.succ>b.block),
     before as (select distinct s.ex, s.side, s.name, b.succ as block from seen s join b on b.ex=s.ex and b.side=s.side and b.block=s.block and b.succ>b.block),
@@ -166,11 +164,18 @@ REACH = """
         where u.role='rhs' and u.loc is null
       union all select u.ex, u.side, u.name, u.pos, s.pos from u join sight s on s.ex=u.ex and s.side=u.side and s.block=u.block and s.name=u.name
         where u.role='rhs' and u.loc is null and u.pos<>s.pos
-      union all select ex, side, name, pos, loc from u where role='rhs' and loc is not null)
+      union all select ex, side, name, pos, loc from u where role='rhs' and loc is not null)"""
+
+
+def reach_sql(edges: str) -> str:
+    return f"""
+    with recursive o as (select *, stmt//2 as block, stmt*2+(case when role='lhs' then 1 else 0 end) as eo from occ),
+    b as (select ex, side, block, succ from blocks where {edges}),{REACH_FACTS}
     select ex, side, name, pos, 'comesFrom' as relation, case when count(d)>0 then name else '' end as parent_names,
       coalesce(string_agg(distinct d::varchar,',' order by d::varchar),'') as parent_pos from found group by ex, side, name, pos"""
 
 
+
 def _reaching(t, back_edges: bool) -> DataFrame:
     occ = t.occ.withColumn("block", F.floor(F.col("stmt") / 2))
     blocks = t.blocks
@@ -187,12 +192,12 @@ def _shown_by_text(edges: DataFrame) -> DataFrame:
     )
 
 
-@query("flow_branch_merge", REACH.format(edges="succ>block"))
+@query("flow_branch_merge", reach_sql("succ>block"))
 def flow_branch_merge(t):
     return _shown_by_text(_reaching(t, back_edges=False))
 
 
-@query("flow_loop_merge", REACH.format(edges="true"))
+@query("flow_loop_merge", reach_sql("true"))
 def flow_loop_merge(t):
     return _shown_by_text(flow.merge_edges(_reaching(t, back_edges=True)))
 
@@ -238,3 +243,49 @@ def flow_normalize_names(t):
 def flow_normalize_edge(t):
     norm = flow.normalize_within_edge(flow.connected_nodes(t.flows))
     return norm.select("ex", "side", "pos", "name", "relation", joined(F.col("parent_names"), ",").alias("parents"))
+
+
+# What statements make and what reaches each use, in the stand-in programs; equal edges merged.
+_CODE_FLOWS = f"""
+    with recursive o as (select ex, side, name, pos, block, eo, role from code_eo), b as (select * from code_blocks),{REACH_FACTS},
+    reached as (select ex, side, name, pos, 'comesFrom' as relation, case when d is null then null else name end as pn, d as pp from found),
+    every as (select * from code_made union all select * from reached)"""
+
+
+@query("flow_from_nodes", f"""{_CODE_FLOWS}
+    select ex, side, name, pos, relation, coalesce(string_agg(distinct pn,',' order by pn),'') as parent_names,
+      coalesce(string_agg(distinct pp::varchar,',' order by pp::varchar),'') as parent_pos from every group by ex, side, name, pos, relation""")
+def flow_from_nodes(t):
+    """Trees to data flow: occurrences, block graphs, statement edges and reaching definitions."""
+    return _shown_by_text(structure.flows(t.code_nodes))
+
+
+@query("flow_loop_edges", f"""{_CODE_FLOWS},
+    back as (select distinct ex, side, name, pos, pp from reached where pp>pos)
+    select code_occ.lang, back.ex, back.side, back.name, back.pos, back.pp as parent from back join code_occ
+      on code_occ.ex=back.ex and code_occ.side=back.side and code_occ.pos=back.pos""")
+def flow_loop_edges(t):
+    """Uses that a loop's later definition reaches, in seven languages."""
+    tree = structure.annotated(t.code_nodes)
+    cuts, edges = structure.control_graph(tree)
+    occ = flow.cut_lineage(structure.placed(structure.occurrences(tree), cuts))
+    reached = flow.reaching_definitions(occ, edges).select("ex", "side", "name", "pos", F.explode("parent_pos").alias("parent"))
+    langs = occ.select("ex", "side", "pos", "lang")
+    return reached.where("parent > pos").join(langs, ["ex", "side", "pos"]).select("lang", "ex", "side", "name", "pos", "parent")
+
+
+@query("flow_control_roles", """
+    with k as (select *, unnest([[0,1],[3,2],[6,3],[7,4],[8,5],[10,6],[13,7],[14,8]]) as e from (
+      select ex, side, lang, is_for, u, max(k) as k from code_words group by all)),
+    r as (select lang, is_for, case e[2] when 1 then 'declaration' when 2 then 'assignment' when 3 then case when lang in ('python','ruby') then null else 'increment' end
+        when 4 then 'if' when 5 then 'assignment' when 6 then 'assignment'
+        when 7 then case when is_for then 'for' else 'while' end
+        else case when not is_for then 'assignment' when lang='go' then 'increment' end end as role from k where k>=e[1]
+      union all select lang, true, case when lang='php' then 'assignment' else 'declaration' end from k where e[1]=13 and k>=13 and is_for and lang not in ('go','python','ruby')
+      union all select lang, true, 'if' from k where e[1]=10 and k>=10 and lang in ('ruby','php'))
+    select lang, role, count(*)::bigint as nodes from r where role is not null group by all""")
+def flow_control_roles(t):
+    """Statements of the stand-in trees by the language rules' roles."""
+    rules = flow.rule_table(t.spark, fill_gaps=True)
+    found = flow.classify_nodes(t.code_nodes.where("type <> 'else' or lang = 'ruby'"), rules).where("role is not null")
+    return found.groupBy("lang", "role").agg(F.count(F.lit(1)).alias("nodes"))

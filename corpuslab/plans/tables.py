@@ -309,6 +309,13 @@ class Tables:
             assignments(self.occ)
         )
 
+    @cached_property
+    def code_nodes(self) -> DataFrame:
+        """Syntax trees with field labels in seven languages."""
+        from corpuslab.plans.code_trees import code_nodes
+
+        return code_nodes(self.sidewords)
+
     @cached_property
     def rules(self) -> DataFrame:
         return self.spark.createDataFrame(RULES, "lang string, node_type string, role string")
