@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.config import KEYWORDS, LANGUAGE_ALIASES, LANGUAGES
-from corpuslab.functions.arrays import GRAM_SEP, gram_keys, joined, ngrams
+from corpuslab.functions.arrays import GRAM_SEP, gram_keys, joined, let, ngrams
 from corpuslab.functions.bleu import brevity_penalty
 from corpuslab.functions.tables import literal_table
 from corpuslab.functions.text import space_tokens
 from corpuslab.operators import flow, reports, scores, trees
 from corpuslab.operators.segments import clipped_overlap, keyword_mask, ref_tokens, seg_stats, token_weight
 from corpuslab.plans.registry import query
-from corpuslab.plans.tables import SIDE_WORDS, Tables
+from corpuslab.plans.tables import SIDE_WORDS, Tables, rewrite
 from corpuslab.session import scratch_path
 from corpuslab.sources.text import read_keywords
 
@@ -366,6 +366,50 @@ def metric_dataflow_multiref(t):
     return _summed(flow.dataflow_match(_judged(t), flow.prepared_bags(t.flows), REFERENCES), "flow")
 
 
+@query("metric_codebleu_multiref", """
+    with two as (select idx, list_filter(string_split(ref,' '), lambda x: x<>'') as r from (select distinct idx, ref from preds
+        union all select idx, hyp from preds where model='sub9')),
+    h as (select model, idx, list_filter(string_split(hyp,' '), lambda x: x<>'') as h from preds where model<>'sub9'),
+    rg as (select idx, k, n, array_to_string(r[i:i+n-1],chr(31)) as gram, count(*) as c from (
+        select *, unnest(range(1, len(r)-n+2)) as i from (select *, row_number() over (partition by idx) as k from two)
+        cross join (select unnest([1,2,3,4]) as n)) group by all),
+    hg as (select model, idx, n, array_to_string(h[i:i+n-1],chr(31)) as gram, count(*) as c from (
+        select *, unnest(range(1, len(h)-n+2)) as i from h cross join (select unnest([1,2,3,4]) as n)) group by all),
+    best as (select idx, n, gram, max(c) as c from rg group by all),
+    m as (select hg.model, hg.n, sum(least(hg.c, coalesce(best.c,0)))::double as m from hg left join best using (idx, n, gram) group by all),
+    span as (select model, count(*)::double as segs, sum(len(h))::double as hl, sum(near)::double as rl from (
+        select h.model, h.idx, any_value(h) as h, arg_min(len(r), abs(len(r)-len(h))*100000+len(r)) as near from h join two using (idx) group by all) group by model),
+    p as (select model, n, sum(greatest(1, len(h)-n+1))::double as p from h cross join (select unnest([1,2,3,4]) as n) group by all),
+    bleu as (select model, exp(sum(0.25*ln(case when m=0 then 0.1/p else m/p end))) * min(case when hl>rl then 1.0 else exp(1-rl/hl) end) as s
+      from m join p using (model, n) join span using (model) group by model),
+    wt as (select *, case when n=1 and gram not in (select word from keywords) then 0.2 else 1.0 end as w from rg),
+    den as (select idx, k, n, greatest(1, sum(c*w)) as den from wt group by all),
+    every as (select idx, k, n, coalesce(den, 1) as den from (select *, row_number() over (partition by idx) as k from two) cross join (select unnest([1,2,3,4]) as n)
+      left join den using (idx, k, n)),
+    num as (select hg.model, hg.n, sum(w*least(wt.c, hg.c)) as num from hg join wt using (idx, n, gram) group by all),
+    dens as (select h.model, e.n, sum(e.den) as den from h join every e using (idx) group by all),
+    rec as (select model, exp(sum(0.25*ln(case when coalesce(num,0)=0 then 0.1/den else num/den end))) * min(case when hl>2*segs then 1.0 else exp(1-2*segs/hl) end) as s
+      from dens left join num using (model, n) join span using (model) group by model),
+    sr as (select ex, sexp, count(*) as cnt from subtrees where side in ('ref','sub9') group by all),
+    st as (select ex, sum(cnt) as total from sr group by ex),
+    sm as (select d.side, d.ex, sum(cnt) as hit from sr join (select distinct ex, side, sexp from subtrees where side not in ('ref','sub9')) d using (ex, sexp) group by all),
+    fr as (select * from flow_bag where side in ('ref','sub9')),
+    ft as (select ex, sum(cnt) as total from fr group by ex),
+    fm as (select d.side, d.ex, sum(least(fr.cnt, d.cnt)) as hit from fr join flow_bag d on d.ex=fr.ex and d.edge=fr.edge where d.side not in ('ref','sub9') group by all),
+    parts as (select h.model, sum(coalesce(sm.hit,0))::double/sum(coalesce(st.total,0)) as syn, sum(coalesce(fm.hit,0))::double/sum(coalesce(ft.total,0)) as flo from h
+      left join st on st.ex=h.idx left join sm on sm.ex=h.idx and sm.side=h.model left join ft on ft.ex=h.idx left join fm on fm.ex=h.idx and fm.side=h.model group by h.model)
+    select model, round(0.25*bleu.s+0.25*rec.s+0.25*syn+0.25*flo,6) as code_bleu from bleu join rec using (model) join parts using (model)""")
+def metric_codebleu_multiref(t):
+    """All four parts against two references of each segment."""
+    words = F.split("ref", " ")
+    second = let(words, lambda w: rewrite(w, F.col("idx"), "sub9"))
+    segments = t.preds.filter(~F.col("model").isin(REFERENCES)).withColumn("refs", F.array("ref", second)).drop("ref")
+    stats = seg_stats(segments, refs="refs", keywords=SIDE_WORDS)
+    syntax = trees.syntax_match(_judged(t), trees.subtrees(t.nodes, digests=True), REFERENCES)
+    edges = flow.dataflow_match(_judged(t), flow.prepared_bags(t.flows), REFERENCES)
+    return reports.code_bleu(stats, syntax, edges, ["model"]).select("model", r6("code_bleu").alias("code_bleu"))
+
+
 @query("metric_syntax_match", """
     select model, sum(total)::bigint as total, sum(hit)::bigint as hit, round(sum(hit)::double/sum(total),6) as syntax
     from syntax group by model""")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.functions.arrays import joined
+from corpuslab.functions.arrays import joined, let, positions
 from corpuslab.functions.text import snippet_lines
 from corpuslab.operators import flow, structure, trees
 from corpuslab.plans.registry import query
+from corpuslab.sources.text import golden_blocks
 
 EDGE_COLS = ["ex", "side", "name", "pos", "relation"]
 
@@ -289,3 +290,30 @@ def flow_control_roles(t):
     rules = flow.rule_table(t.spark, fill_gaps=True)
     found = flow.classify_nodes(t.code_nodes.where("type <> 'else' or lang = 'ruby'"), rules).where("role is not null")
     return found.groupBy("lang", "role").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query("tree_golden_trees", """
+    with w as (select doc_id, regexp_extract_all(lower(text),'[a-z]+') as a from documents),
+    s as (select doc_id, i, a[i*5+1:i*5+5] as g from (select *, unnest(range(0, (len(a)+4)//5)) as i from w)),
+    x as (select doc_id, i, '(stmt left: ('||g[1]||')'||case when len(g)>1 then ' right: (args '||array_to_string(list_transform(g[2:3], lambda t: '('||t||')'),' ')||')' else '' end
+      ||case when len(g)>3 then ' '||array_to_string(list_transform(g[4:5], lambda t: '('||t||')'),' ') else '' end||')' as sexp, len(g) as n from s)
+    select w.doc_id, (1+coalesce(count(i),0)+coalesce(sum(n+case when n>1 then 1 else 0 end),0))::bigint as nodes,
+      md5('(program'||coalesce(' '||string_agg(sexp,' ' order by i),'')||')') as sexp_md5
+    from w left join x using (doc_id) group by w.doc_id""")
+def tree_golden_trees(t):
+    """Golden files of the documents' words, cut into blocks, read as node tables and written again."""
+    def statement(g):
+        rest = F.array_join(F.transform(F.slice(g, 4, 2), lambda w: F.concat(F.lit("\n    ("), w, F.lit(")"))), "")
+        args = F.array_join(F.transform(F.slice(g, 2, 2), lambda w: F.concat(F.lit("("), w, F.lit(")"))), " ")
+        right = F.when(F.size(g) > 1, F.concat(F.lit("\n    right: (args "), args, F.lit(")"))).otherwise("")
+        return F.concat(F.lit("\n  (stmt\n    left: ("), F.get(g, F.lit(0)), F.lit(")"), right, rest, F.lit(")"))
+
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
+    tree = let(words, lambda w: F.array_join(F.transform(positions(F.ceil(F.size(w) / 5).cast("int")), lambda i: statement(F.slice(w, i * 5 + 1, 5))), ""))
+    bar = F.lit("=" * 6)
+    content = F.concat(bar, F.lit("\n"), "source", F.lit("\n"), bar, F.lit("\n\ncode\n\n---\n\n(program"), tree, F.lit(")\n"))
+    blocks = golden_blocks(t.documents.select("doc_id", content.alias("value")))
+    nodes = flow.cut_lineage(trees.parsed(blocks.withColumnsRenamed({"doc_id": "ex", "name": "side"}), ["ex", "side"]))
+    whole = trees.subtrees(nodes, fields=True).where("depth = 1").select("ex", F.md5("sexp").alias("sexp_md5"))
+    sizes = nodes.groupBy("ex").agg(F.count(F.lit(1)).alias("nodes"))
+    return sizes.join(whole, "ex").select(F.col("ex").alias("doc_id"), "nodes", "sexp_md5")

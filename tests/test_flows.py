@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslab.config import BRANCH_TYPES, KEEPS_BEFORE, LOOP_ENTRY
-from corpuslab.operators import flow, structure
+from corpuslab.operators import flow, structure, trees
 from corpuslab.operators.scans import running
 from corpuslab.plans.code_trees import LANGS, TYPES, WRAPPED
 
@@ -237,3 +237,33 @@ def test_a_long_text_is_dealt_by_name(spark):
     few = flow.reaching_definitions(occ, graph, most=500)
     one = flow.reaching_definitions(occ, graph, most=10**9)
     assert few.exceptAll(one).isEmpty() and few.count() == one.count() == n - n // 6
+
+
+GOLDEN = """(program
+  (class_declaration
+    name: (identifier)
+    body: (class_body
+      (method (modifiers "public" ")")
+        type: (integral_type) ; name:(identifier)
+        body: (block)))))"""
+
+
+@pytest.mark.parametrize("bits", [13, 1, 0])
+def test_golden_trees_are_read_back(spark, bits):
+    deep = "(a " * 12 + ")" * 12
+    wide = "(w " + " ".join(f"f{i}: (n{i} (x))" if i % 3 else f"(n{i})" for i in range(200)) + ")"
+    texts = [GOLDEN, deep, wide, "(one)", "", "no node"]
+    df = spark.createDataFrame([(i, "ref", t) for i, t in enumerate(texts)], "ex bigint, side string, tree string")
+    nodes = trees.parsed(df, ["ex", "side"], piece_bits=bits)
+    first = [(r.node_id, r.parent_id, r.ord, r.type, r.field) for r in nodes.where("ex = 0").orderBy("node_id").collect()]
+    assert first == [
+        (0, None, 0, "program", None), (1, 0, 0, "class_declaration", None), (2, 1, 0, "identifier", "name"), (3, 1, 1, "class_body", "body"),
+        (4, 3, 0, "method", None), (5, 4, 0, "modifiers", None), (6, 4, 1, "integral_type", "type"), (7, 4, 2, "identifier", "name"),
+        (8, 4, 3, "block", "body"),
+    ]
+    shown = {r.ex: r.sexp for r in trees.subtrees(nodes, fields=True).where("depth = 1").collect()}
+    assert shown[0] == ("(program (class_declaration name: (identifier) body: (class_body (method (modifiers) type: (integral_type) "
+                        "name: (identifier) body: (block)))))")
+    assert shown[1] == "(a " * 11 + "(a)" + ")" * 11 and shown[2] == wide and shown[3] == "(one)" and len(shown) == 4
+    plain = {r.ex: r.sexp for r in trees.subtrees(nodes).where("depth = 1").collect()}
+    assert plain[0].count(":") == 0 and plain[0].count("(") == 9
