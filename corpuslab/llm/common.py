@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +17,7 @@ from corpuslab.session import cut_lineage, scratch_path
 
 #: Texts in one slice of a batch together have about this many characters at most (a longer text
 #: is a slice of its own), which bounds what a Python worker holds at once.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def row_map(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
@@ -31,13 +34,17 @@ def row_map(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: s
     names = [f.name for f in arrow]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fn = make()
-        for batch in batches:
-            for part in _slices(batch):
-                out = fn(part.to_pydict())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[n], type=arrow.field(n).type) for n in names], names=names
-                )
+        try:
+            fn = make()
+            for batch in batches:
+                for part in _slices(batch):
+                    out = fn(part.to_pydict())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(out[n], type=arrow.field(n).type) for n in names], names=names
+                    )
+        finally:
+            fn = None
+            let_go()
 
     return df.mapInArrow(run, schema)
 
@@ -54,6 +61,26 @@ def kept(key, make: Callable):
     return _KEPT[key]
 
 
+#: Megabytes that a worker may hold between tasks. Spark keeps idle workers, several to an executor.
+HELD_MB = 140
+
+
+def let_go() -> None:
+    """At a task's end: a worker that holds much gives up what it kept, and returns the memory."""
+    try:
+        with open("/proc/self/statm") as f:
+            held = int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+    except OSError:  # no such file on this system
+        held = HELD_MB + 1
+    if held > HELD_MB:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     if "text" not in batch.schema.names or batch.nbytes <= SLICE_CHARS:
         if batch.num_rows:

@@ -172,6 +172,20 @@ def op5_toxicity(spark, folder):
     return judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op6_license_scans(spark, folder):
+    from corpuslab.llm.license_scan import license_scan
+
+    found = license_scan(table(spark, folder, "documents"))
+    best = F.array_max(F.transform("notices", lambda n: F.struct(
+        n["coverage"].alias("coverage"), n["length"].alias("length"), (-n["start"]).alias("start"), n["license"].alias("license"))))
+    return found.withColumn("best", best).select(
+        "doc_id", "n_words", F.size("notices").cast("long").alias("n_notices"), F.col("best.license").alias("license"),
+        (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), F.round("best.coverage", 6).alias("coverage"),
+        F.array_join(F.transform("notices", lambda n: F.concat_ws(":", n["license"], n["start"].cast("string"), n["length"].cast("string"))), ",").alias("notices"),
+    )
+
+
 @query
 def op7_language_id(spark, folder):
     from corpuslab.llm.language_id import identify
