@@ -375,11 +375,11 @@ def near_links(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                    similarity: float | None = SIMILARITY) -> DataFrame:
+                    similarity: float | None = None) -> DataFrame:
     """One row per document: `doc_id`, `fingerprint` (16 hex digits), `component_id`.
 
     `component_id` is the smallest id reachable over links of at most two differing bits
-    and, unless `similarity` is None, links of texts with at least this Jaccard similarity of their
+    and, where a `similarity` is given, links of texts with at least this Jaccard similarity of their
     distinct 5-word shingles.
     Texts are split at ASCII white space after lower-casing A-Z. Null, empty and blank texts have
     fingerprint zero and link like any other. A row with a null id has a component too, that of

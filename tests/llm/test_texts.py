@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpuslab.llm import chat, language_id, packing, queries, token_counts, toxicity, url_filter
@@ -419,3 +420,23 @@ def test_simhash_stage_keeps_one_row(spark):
     got = corpus_pipeline.near_copies_removed(spark, spark.createDataFrame(rows, schema), SF).collect()
     assert sorted((r["doc_id"] for r in got), key=str) == [1, 7, 8, None]
     assert os.path.isdir(SF)
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    """Names that the operators use themselves, and a map, which cannot be ordered."""
+    import corpus_pipeline
+
+    extra = ["score", "toxic_score", "has_letters", "lang_pred", "lang_score", "stays", "special_id", "component_id", "contaminated", "row", "copies"]
+    texts = ["the of and in a text", "the of and in a text", "der die und das", None, "12 !?", "wholly other words stand here"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in extra:
+        docs = docs.withColumn(c, F.lit(f"mine {c}"))
+    docs = docs.withColumn("tags", F.create_map(F.lit("k"), F.col("doc_id")))
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        left[name] = sorted(r["doc_id"] for r in out.collect())
+        assert all(r[c] == f"mine {c}" for r in out.collect() for c in extra) and all(r["tags"] == {"k": r["doc_id"]} for r in out.collect())
+    assert left["language"] == [0, 1, 2, 5] and left["simhash"] == [0, 2, 3, 4, 5] and left["benchmark"] == [0, 1, 2, 3, 4, 5]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 6
