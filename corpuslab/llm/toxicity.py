@@ -1,11 +1,13 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A text is scored in windows of `WINDOW` words, each starting `STRIDE` words after the one before.
 A word's input joins what its own bucket says (a learned vector, and how much oftener toxic texts
 have it), and the same of its character 4-grams, so that unseen forms of a word are recognised. Two
-gated recurrent layers read a window in both directions, attention pools their states, and one unit
-gives the window's logit. A text's logit is the largest of its windows, which a logistic curve fitted
-on texts kept out of the network's training turns into a probability.
+gated recurrent layers read the words in both directions, attention pools their states over a window
+of `WINDOW` words, and one unit gives the window's logit. All overlapping windows are scored, one from
+each word: they share the words' states, which are run once over spans of `SPAN` words with `WARM` words
+of context at their ends, and running sums of attention give each window its pooled state. A text's logit
+is the largest of its windows, which a logistic curve fitted on texts kept out of the network's training
+turns into a probability.
 """
 
 from __future__ import annotations
@@ -20,12 +22,16 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm.common import crc_fold, kept, row_map
 
-WINDOW, STRIDE = 48, 40
+WINDOW = 48
+#: Words whose states are run together, and words of context before and after them.
+SPAN, WARM = 96, 16
 BUCKETS, VECTOR, STATES = 1 << 14, 6, 8
 INPUTS = 3 + 2 * VECTOR
-#: Labelled texts to learn from at most, of each class, and windows of one text at most (evenly
-#: spread). The bounds hold however many labels there are.
-TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_WINDOWS = 1200, 3600, 24
+#: Labelled texts to learn from at most, of each class; all windows of each count. The bounds hold
+#: however many labels there are.
+TOXIC_SAMPLE, CLEAN_SAMPLE = 1200, 3600
+#: Attention scores beyond this, up or down, count as this.
+STEEPEST = 15.0
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 #: Words a worker remembers; when there are more, it starts again with none.
 MEMORY = 200_000
@@ -36,18 +42,6 @@ THRESHOLD = 0.3
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
-def windows_of(n_words: int) -> int:
-    return max(1, -(-(n_words - WINDOW) // STRIDE) + 1)
-
-
-def sampled_windows(text: str | None) -> list[str]:
-    """At most `SAMPLE_WINDOWS` windows of a text, evenly spread."""
-    words = text.split() if text else []
-    count = windows_of(len(words))
-    picked = np.unique(np.linspace(0, count - 1, min(count, SAMPLE_WINDOWS)).astype(int))
-    return [" ".join(words[i * STRIDE:i * STRIDE + WINDOW]) for i in picked.tolist()]
-
-
 def word_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For words: the bucket of each, the buckets of their character 4-grams one after another, and
     where each word's 4-grams start. Case and punctuation at the ends do not count."""
@@ -105,12 +99,13 @@ class Network:
         """What each word adds to the gates of both directions."""
         return np.matmul(x[None], self.w) + self.b
 
-    def forward(self, gates: np.ndarray, at: np.ndarray, filled: np.ndarray, keep: bool = False):
-        """Logits of windows. `at`: rows of `gates` by window and place; `filled`: where a word is."""
+    def states(self, gates: np.ndarray, at: np.ndarray, filled: np.ndarray, trace: list | None = None) -> np.ndarray:
+        """States of both directions by place and row. `at`: rows of `gates` by row and place; `filled`: where
+        a word is."""
         n, t = at.shape
         s = STATES
-        h, trace = np.zeros((2, n, s), dtype=np.float32), []
-        both = np.empty((t, n, 2 * s), dtype=np.float32)  # place, window, state
+        h = np.zeros((2, n, s), dtype=np.float32)
+        both = np.empty((t, n, 2 * s), dtype=np.float32)  # place, row, state
         g = np.empty((2, n, 3 * s), dtype=np.float32)
         for i in range(t):
             j = t - 1 - i
@@ -121,13 +116,19 @@ class Network:
             z, r = zr[..., :s], zr[..., s:]
             new = np.tanh(g[..., 2 * s:] + r * gh[..., 2 * s:])
             mask = np.stack([filled[:, i], filled[:, j]])[..., None]
-            if keep:
+            if trace is not None:
                 trace.append((h, z, r, new, gh[..., 2 * s:], mask))
             h = (new + z * (h - new)) * mask
             both[i, :, :s], both[j, :, s:] = h
-        score = np.where(filled.T, both @ self.v, np.float32(-1e9))
+        return both
+
+    def forward(self, gates: np.ndarray, at: np.ndarray, filled: np.ndarray, core: np.ndarray, keep: bool = False):
+        """Logits of windows, each a row of places. `core`: the places that are pooled; others are context."""
+        trace: list = []
+        both = self.states(gates, at, filled, trace if keep else None)
+        score = np.where(core.T, both @ self.v, np.float32(-1e9))
         score = np.exp(score - score.max(axis=0))
-        weight = (score / score.sum(axis=0) * filled.T).astype(np.float32)
+        weight = (score / score.sum(axis=0) * core.T).astype(np.float32)
         pooled = (weight[..., None] * both).sum(axis=0)
         logit = pooled @ self.o + self.c
         return (logit, trace, both, weight, pooled) if keep else logit
@@ -192,33 +193,82 @@ class Windows:
         split = [t.split() if t else [] for t in texts]
         self.learn(set().union(*split))
         row = self.rows.__getitem__
-        pieces = [laid_out(np.fromiter(map(row, ws), dtype=np.int32, count=len(ws))) for ws in split]
-        counts = [len(p) for p in pieces]
-        at = np.concatenate(pieces)
-        values = np.concatenate([
-            self.network.forward(self.gates, part, part > 0)
-            for part in (at[i:i + 2048] for i in range(0, len(at), 2048))
-        ])
-        return np.maximum.reduceat(values, np.cumsum([0, *counts[:-1]]))
+        return best_windows(self.network, self.gates, [np.fromiter(map(row, ws), dtype=np.int32, count=len(ws)) for ws in split])[0]
 
 
 def _windows(name: str, shared) -> Windows:
     return kept(("toxicity", name), lambda: Windows(shared.value))
 
 
-def laid_out(rows: np.ndarray) -> np.ndarray:
-    """Rows of a text's words as windows; 0 where the last one has no more words."""
-    count = windows_of(len(rows))
-    padded = np.zeros((count - 1) * STRIDE + WINDOW, dtype=np.int32)
-    padded[: len(rows)] = rows
-    return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
+def laid_out(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts' rows of words as spans with context: rows by span and place (0 where no word is), how many
+    places have words, the place of the first word that is not context, and that word's number among all
+    words of the texts."""
+    width = SPAN + 2 * WARM
+    pieces, used, first, number, before = [], [], [], [], 0
+    for words in rows:
+        count = -(-len(words) // SPAN)
+        if count:
+            padded = np.zeros((count - 1) * SPAN + width, dtype=np.int32)
+            padded[: len(words)] = words
+            at = np.maximum(np.arange(count) * SPAN - WARM, 0)
+            pieces.append(np.lib.stride_tricks.sliding_window_view(padded, width)[at])
+            used.append(np.minimum(len(words) - at, width))
+            first.append(np.arange(count) * SPAN - at)
+            number.append(before + np.arange(count) * SPAN)
+        before += len(words)
+    if not pieces:
+        none = np.zeros(0, dtype=np.int64)
+        return np.zeros((0, width), dtype=np.int32), none, none, none
+    return np.concatenate(pieces), np.concatenate(used), np.concatenate(first), np.concatenate(number)
+
+
+def best_windows(network: Network, gates: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The largest logit of each text's windows, and the word at which that window starts (the first of equals)."""
+    sizes = np.array([len(r) for r in rows], dtype=np.int64)
+    at, used, first, number = laid_out(rows)
+    values = np.zeros((int(sizes.sum()), 2))  # attention score and logit of each word
+    ends = np.stack([network.v, network.o], axis=1)
+    order = np.argsort(used, kind="stable")  # short ones together, so few places are empty
+    for i in range(0, len(order), 2048):
+        pick = order[i:i + 2048]
+        t = int(used[pick[-1]])
+        part = at[pick, :t]
+        both = network.states(gates, part, part > 0) @ ends
+        place = np.arange(t)[None]
+        core = (place >= first[pick, None]) & (place < np.minimum(first[pick] + SPAN, used[pick])[:, None])
+        word = number[pick, None] + place - first[pick, None]
+        values[word[core]] = both.transpose(1, 0, 2)[core]
+    weight = np.exp(np.clip(values[:, 0], -STEEPEST, STEEPEST))
+    logits, starts = np.full(len(rows), float(network.c[0])), np.zeros(len(rows), dtype=np.int64)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    for k in np.flatnonzero(sizes):
+        w = weight[begin[k]:begin[k + 1]]
+        up = np.concatenate([[0.0], np.cumsum(w * values[begin[k]:begin[k + 1], 1])])
+        down = np.concatenate([[0.0], np.cumsum(w)])
+        n = min(WINDOW, len(w))
+        pooled = (up[n:] - up[:-n]) / (down[n:] - down[:-n])
+        starts[k] = pooled.argmax()
+        logits[k] += pooled[starts[k]]
+    return logits, starts
+
+
+def around(words: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """A window's rows with its context, and which places are the window's own."""
+    a = max(0, start - WARM)
+    row = np.zeros(WINDOW + 2 * WARM, dtype=np.int32)
+    part = words[a:start + WINDOW + WARM]
+    row[: len(part)] = part
+    core = np.zeros(len(row), dtype=bool)
+    core[start - a:min(start + WINDOW, len(words)) - a] = True
+    return row, core
 
 
 def _rates(texts: list[list[str]], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How far the number of toxic texts that have a bucket exceeds what is expected, in deviations."""
     counts = np.zeros((2, 2, BUCKETS))
-    for windows, y in zip(texts, labels):
-        words = list({w for t in windows for w in t.split()})
+    for text, y in zip(texts, labels):
+        words = list(set(text))
         if words:
             own, grams, _ = word_buckets(words)
             counts[0, y][np.unique(own)] += 1
@@ -230,7 +280,7 @@ def _rates(texts: list[list[str]], labels: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def train(texts: list[list[str]], labels: np.ndarray, share: float | None = None) -> Network:
-    """Learns from the windows of texts. `share`: how many of all labelled texts are toxic, where
+    """Learns from texts, given as words. `share`: how many of all labelled texts are toxic, where
     the given ones are not a fair sample. Without a toxic or a clean text all scores are `share`."""
     labels = np.asarray(labels, dtype=np.int64)
     share = float(np.clip(labels.mean() if share is None and len(labels) else share or 0.0, 1e-3, 1 - 1e-3))
@@ -244,41 +294,39 @@ def train(texts: list[list[str]], labels: np.ndarray, share: float | None = None
         fit = order
     network = Network(*_rates([texts[i] for i in fit], labels[fit]))
 
-    words = sorted({w for ts in texts for t in ts for w in t.split()})
+    words = sorted(set().union(*texts))
     number = {w: i + 1 for i, w in enumerate(words)}
     own, grams, starts = word_buckets(words)
     ends = np.r_[starts[1:], len(grams)]
-    spans = [[laid_out(np.array([number[w] for w in t.split()], dtype=np.int32))[0] for t in ts] for ts in texts]
+    rows = [np.array([number[w] for w in t], dtype=np.int32) for t in texts]
 
-    def all_logits(of):
+    def best(of):
         gates = np.concatenate([np.zeros((2, 1, 3 * STATES), np.float32), network.gates(network.inputs(own, grams, starts))], axis=1)
-        at = np.array([s for i in of for s in spans[i]])
-        values = np.concatenate([network.forward(gates, at[k:k + 2048], at[k:k + 2048] > 0) for k in range(0, len(at), 2048)])
-        return values, np.cumsum([0, *[len(spans[i]) for i in of]])
+        return best_windows(network, gates, [rows[i] for i in of])
 
     moments = {k: [np.zeros_like(getattr(network, k)) for _ in range(2)] for k in Network.NAMES}
     rng, step = np.random.default_rng(5), 0
     heavier = (labels[fit] == 0).sum() / max(1, (labels[fit] == 1).sum())
     for epoch in range(EPOCHS):
-        values, bounds = all_logits(fit)
-        top = [spans[i][int(values[a:b].argmax())] for i, a, b in zip(fit, bounds[:-1], bounds[1:])]
-        top, y = np.array(top), labels[fit].astype(np.float32)
+        pieces = [around(rows[i], int(at)) for i, at in zip(fit, best(fit)[1])]
+        top, cores = (np.array(x) for x in zip(*pieces))
+        y = labels[fit].astype(np.float32)
         rate = RATE * (1 - epoch / EPOCHS)
         for part in np.array_split(rng.permutation(len(fit)), max(1, len(fit) // BATCH)):
-            at, filled = top[part], top[part] > 0
-            rows, inverse = np.unique(at, return_inverse=True)
+            at, filled, core = top[part], top[part] > 0, cores[part]
+            met, inverse = np.unique(at, return_inverse=True)
             inverse = inverse.reshape(at.shape)
-            real = rows[rows > 0] - 1
-            pad = len(rows) - len(real)
+            real = met[met > 0] - 1
+            pad = len(met) - len(real)
             lengths = ends[real] - starts[real]
             flat = np.concatenate([grams[starts[r]:ends[r]] for r in real]) if len(real) else np.zeros(0, dtype=np.int64)
             firsts = np.cumsum(np.r_[0, lengths[:-1]]) if len(real) else np.zeros(0, dtype=np.int64)
             x = np.concatenate([np.zeros((pad, INPUTS), np.float32), network.inputs(own[real], flat, firsts)])
             gates = network.gates(x)
-            logit, trace, both, weight, pooled = network.forward(gates, inverse, filled, keep=True)
+            logit, trace, both, weight, pooled = network.forward(gates, inverse, filled, core, keep=True)
             weights = np.where(y[part] > 0, min(heavier, 4.0), 1.0).astype(np.float32)
             d = (weights * (_sigmoid(logit) - y[part]) / len(part)).astype(np.float32)
-            grad, d_gates = network.backward(d, inverse, filled, trace, both, weight, pooled, len(rows))
+            grad, d_gates = network.backward(d, inverse, filled, trace, both, weight, pooled, len(met))
             grad["w"] = np.matmul(np.broadcast_to(x.T, (2, *x.T.shape)), d_gates)
             grad["b"] = d_gates.sum(axis=1, keepdims=True)
             d_x = np.matmul(d_gates, network.w.transpose(0, 2, 1)).sum(axis=0)[pad:]
@@ -294,8 +342,7 @@ def train(texts: list[list[str]], labels: np.ndarray, share: float | None = None
                 q += 0.01 * (g * g - q)
                 value -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
     seen = check if len(set(labels[check].tolist())) == 2 else order
-    values, bounds = all_logits(seen)
-    network.curve = _curve(np.maximum.reduceat(values, bounds[:-1]), labels[seen], share)
+    network.curve = _curve(best(seen)[0], labels[seen], share)
     return network
 
 
@@ -317,8 +364,8 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """Trains on a bounded sample of the labelled rows that are not held out.
 
     A text labelled both ways counts as toxic; null labels and ids are left out. The smallest
-    hashes of ids make the sample, so it is the same wherever the rows lie. Only the sample's
-    windows, bounded in number and words, come to the driver.
+    hashes of ids make the sample, so it is the same wherever the rows lie. The sample's whole texts,
+    bounded in number, come to the driver.
     """
     known = (
         labels.select(F.col(doc_id).alias("doc_id"), F.col(toxic).cast("int").alias("y"))
@@ -333,15 +380,10 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     joined = texts.join(F.broadcast(sample), "doc_id")  # at most TOXIC_SAMPLE + CLEAN_SAMPLE rows
 
-    def make():
-        return lambda cols: {"doc_id": cols["doc_id"], "y": cols["y"],
-                             "windows": [sampled_windows(t) for t in cols["text"]]}
-
-    rows = row_map(joined, make, "doc_id long, y int, windows array<string>")
-    rows = rows.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("windows").alias("windows")).collect()
+    rows = joined.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     total = sum(sizes.values())
-    return train([r["windows"] for r in rows], np.array([r["y"] for r in rows], dtype=np.int64),
+    return train([r["text"].split() if r["text"] else [] for r in rows], np.array([r["y"] for r in rows], dtype=np.int64),
                  sizes.get(1, 0) / total if total else None)
 
 
@@ -350,7 +392,7 @@ def score(docs: DataFrame, network: Network, keep: list[str] | None = None, doc_
     """`doc_id` (or the columns `keep`, which must have `text`) and `score` of each row's whole text, under
     `name`, which must not be one of them.
 
-    Null, empty and blank texts get the score of a window without words. Repeated rows are scored
+    Null, empty and blank texts score 0. Repeated rows are scored
     each; null ids stay null; an empty table stays empty.
     """
     if keep is None:
@@ -367,6 +409,7 @@ def score(docs: DataFrame, network: Network, keep: list[str] | None = None, doc_
         def run(cols):
             a, b = shared.value.curve
             p = 1 / (1 + np.exp(-np.clip(a * windows.logits(cols["text"]).astype(np.float64) + b, -30, 30)))
+            p[[not t or t.isspace() for t in cols["text"]]] = 0.0
             return {k: cols[k] for k in kept} | {name: p}
 
         return run

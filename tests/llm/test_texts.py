@@ -318,10 +318,11 @@ def test_gradients():
     at = rng.integers(1, 10, (3, toxicity.WINDOW))
     at[0, 5:] = 0
     filled = at > 0
+    core = filled & (np.arange(toxicity.WINDOW) >= 2)
     def gates():
         return np.concatenate([np.zeros((2, 1, 3 * toxicity.STATES)), net.gates(net.inputs(own, grams, starts))], axis=1)
     d = np.array([0.3, -0.2, 0.5])
-    logit, *kept = net.forward(gates(), at, filled, keep=True)
+    logit, *kept = net.forward(gates(), at, filled, core, keep=True)
     grad, d_gates = net.backward(d, at, filled, *kept, rows=10)
     for name in ("u", "v", "o"):
         value = getattr(net, name)
@@ -329,16 +330,55 @@ def test_gradients():
         up, down = [], []
         for side, step in ((up, 1e-2), (down, -1e-2)):
             value[i] += step
-            side.append(float((net.forward(gates(), at, filled) * d).sum()))
+            side.append(float((net.forward(gates(), at, filled, core) * d).sum()))
             value[i] -= step
         assert np.isclose((up[0] - down[0]) / 2e-2, grad[name][i], rtol=0.05, atol=1e-3)
     assert np.abs(d_gates[:, 1:]).max() > 0
 
 
-def test_windows_cover_all_words():
-    for n in (0, 1, 47, 48, 49, 88, 89, 500):
-        spans = toxicity.laid_out(np.arange(1, n + 1, dtype=np.int32))
-        assert len(spans) == toxicity.windows_of(n) and set(spans.ravel()) - {0} == set(range(1, n + 1))
+def states_by_hand(net, x):
+    """States of both directions over one span, word by word."""
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    s, out = toxicity.STATES, np.zeros((len(x), 2 * toxicity.STATES))
+    for d, order in ((0, range(len(x))), (1, range(len(x) - 1, -1, -1))):
+        h = np.zeros(s)
+        for i in order:
+            g, gh = x[i] @ net.w[d] + net.b[d, 0], h @ net.u[d]
+            z, r = sigmoid(g[:s] + gh[:s]), sigmoid(g[s:2 * s] + gh[s:2 * s])
+            h = z * h + (1 - z) * np.tanh(g[2 * s:] + r * gh[2 * s:])
+            out[i, d * s:(d + 1) * s] = h
+    return out
+
+
+def score_by_hand(net, text):
+    """Every window of the text, one after another."""
+    if not (text or "").strip():
+        return 0.0
+    words, n = (text or "").split(), len((text or "").split())
+    states = np.zeros((n, 2 * toxicity.STATES))
+    for a in range(0, n, toxicity.SPAN):
+        start = max(0, a - toxicity.WARM)
+        part = words[start:start + toxicity.SPAN + 2 * toxicity.WARM]
+        found = states_by_hand(net, np.concatenate([net.inputs(*toxicity.word_buckets([w])) for w in part]))
+        states[a:a + toxicity.SPAN] = found[a - start:a - start + toxicity.SPAN]
+    logits = []
+    for a in range(max(1, n - toxicity.WINDOW + 1)):
+        h = states[a:a + toxicity.WINDOW]
+        weight = np.exp(h @ net.v)
+        logits.append((weight @ (h @ net.o) / weight.sum() if n else 0) + net.c[0])
+    return 1 / (1 + np.exp(-(net.curve[0] * max(logits) + net.curve[1])))
+
+
+def test_scores_by_hand(spark):
+    rng = np.random.default_rng(1)
+    net = toxicity.Network(rng.standard_normal(toxicity.BUCKETS) / 4, rng.standard_normal(toxicity.BUCKETS) / 4)
+    net.word, net.char = net.word * 20, net.char * 20
+    net.curve = np.array([1.5, -0.2])
+    sizes = [0, 1, 2, 47, 48, 49, 95, 96, 97, 111, 112, 113, 192, 193, 500, 1300]
+    texts = [" ".join(f"w{rng.integers(300)}" for _ in range(n)) for n in sizes] + [None, " \n"]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(frame(spark, [(i, t, "en") for i, t in enumerate(texts)]), net).collect()}
+    want = [score_by_hand(net, t) for t in texts]
+    assert np.allclose([got[i] for i in range(len(texts))], want, atol=2e-5)
 
 
 def test_toxicity_is_learned(spark):
