@@ -20,7 +20,7 @@ from corpuslab.functions.text import (
     strip_python_comments,
     word_tokens,
 )
-from corpuslab.operators import encode, statistics, subwords, vocab
+from corpuslab.operators import encode, rowcodes, statistics, subwords, vocab
 from corpuslab.operators.comments import strip_comments
 from corpuslab.plans.registry import query
 from corpuslab.plans.tables import SPEC
@@ -321,10 +321,8 @@ def vocab_truncate(t):
     select t.idx, t.side, t.line_no, string_agg(coalesce(v.id,1)::varchar,' ' order by t.pos) as ids
     from toks t left join vocab v using (token) group by all""")
 def enc_token_ids(t):
-    coded = vocab.token_ids(t.toks, t.vocab)
-    return vocab.line_ids(coded, ["idx", "side", "line_no"]).select(
-        "idx", "side", F.col("line_no").cast("bigint").alias("line_no"), joined(F.col("ids")).alias("ids")
-    )
+    coded = rowcodes.matrix_ids(_sides(t), ["key1", "key2"], t.vocab)
+    return _lines(coded, "ids")
 
 
 @query("enc_flat_pad", """
@@ -406,48 +404,45 @@ EXT = """
 """
 
 
-def _extended(t):
-    source = t.toks.filter(F.col("side") == "key1")
-    return vocab.extended_vocab(source, t.vocab, ["idx"], SPEC.vocab_size)
-
+def _sides(t):
+    return t.matrices.select("idx", F.col("tok1").alias("key1"), F.col("tok2").alias("key2"))
 
-def _coded(t):
-    return vocab.extended_ids(t.toks, t.vocab, _extended(t), ["idx"])
 
+def _lines(coded, name):
+    lines = rowcodes.matrix_lines(coded, ["key1", "key2"], ["idx"], name)
+    return lines.select("idx", "side", "line_no", joined(F.col(name)).alias(name))
 
-LINE = ["idx", "side", "line_no"]
 
-
-def _per_line(coded: DataFrame, value: str, name: str) -> DataFrame:
-    return vocab.line_ids(coded, LINE, value=value).select(
-        "idx", "side", F.col("line_no").cast("bigint").alias("line_no"), joined(F.col(f"{value}s")).alias(name)
-    )
+def _coded(t):
+    """Both sides of a pair, with ids of the source's own tokens behind the vocabulary."""
+    return rowcodes.matrix_ids(_sides(t), ["key1", "key2"], t.vocab, "key1", SPEC.vocab_size)
 
 
 @query("enc_ext_vocab", EXT + "select idx, ext_id::bigint as ext_id, token from ext")
 def enc_ext_vocab(t):
-    return _extended(t).select("idx", "ext_id", "token")
+    own = _coded(t).select("idx", F.posexplode("own").alias("n", "token"))
+    return own.select("idx", (F.col("n") + SPEC.vocab_size).cast("bigint").alias("ext_id"), "token")
 
 
 @query("enc_ext_ids", EXT + """
     select idx, side, line_no, string_agg(id::varchar,' ' order by pos) as ids from coded group by all""")
 def enc_ext_ids(t):
-    return _per_line(_coded(t), "id", "ids")
+    return _lines(_coded(t), "ids")
 
 
 @query("enc_restore_unk", EXT + """
     select idx, side, line_no, string_agg((case when id<4000 then id else 1 end)::varchar,' ' order by pos) as ids from coded group by all""")
 def enc_restore_unk(t):
-    fed = _coded(t).withColumn("id", vocab.plain_id(F.col("id"), SPEC.vocab_size))
-    return _per_line(fed, "id", "ids")
+    plain = lambda c: F.transform(c, lambda line: F.transform(line, lambda i: vocab.plain_id(i, SPEC.vocab_size)))
+    fed = _coded(t).select("idx", plain("key1").alias("key1"), plain("key2").alias("key2"))
+    return _lines(fed, "ids")
 
 
 @query("enc_decode_ids", EXT + """
     select c.idx, c.side, c.line_no, string_agg(coalesce(v.token, e.token),' ' order by c.pos) as decoded from coded c
     left join vocab v on v.id=c.id left join ext e on e.idx=c.idx and e.ext_id=c.id group by all""")
 def enc_decode_ids(t):
-    back = vocab.decode_ids(_coded(t).drop("token"), t.vocab, _extended(t), ["idx"])
-    return _per_line(back, "decoded", "decoded")
+    return _lines(rowcodes.matrix_tokens(_coded(t), ["key1", "key2"], t.vocab, SPEC.vocab_size), "decoded")
 
 
 @query("pairs_reverse", "select idx, split, key2 as key1, key1 as key2, '<java>' as start_flag, '</cs>' as target_end from pairs")
