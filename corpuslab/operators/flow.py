@@ -407,6 +407,71 @@ def normalize_within_edge(edges: DataFrame) -> DataFrame:
     )
 
 
+def straight_flows(occ: DataFrame) -> DataFrame:
+    """`use_def` of uses and `assignments` together, in one pass over occurrences dealt by `ex`: all windows
+    find their rows where they are, and each occurrence unrolls into its edges."""
+    name_order = Window.partitionBy(*UNIT, "name").orderBy("_eo", "pos")
+    before = name_order.rowsBetween(Window.unboundedPreceding, -1)
+    defines = (F.col("role") == "lhs") | (F.row_number().over(name_order) == 1)
+    sources = F.collect_list(F.when(F.col("role") == "rhs", F.struct("name", "pos"))).over(Window.partitionBy(*UNIT, "stmt"))
+    seen = (
+        occ.select(*UNIT, "stmt", "name", "pos", "role").repartition("ex").withColumn("_eo", evaluation_order())
+        .withColumn("_def", F.when(defines, F.col("pos"))).withColumn("_par", F.last("_def", ignorenulls=True).over(before))
+        .withColumn("_src", sources)
+    )
+
+    def edge(relation: str, names: Column, places: Column) -> Column:
+        return F.struct(F.lit(relation).alias("relation"), names.alias("parent_names"), places.alias("parent_pos"))
+
+    none = F.col("_par").isNull()
+    used = F.array(edge("comesFrom", F.when(none, _no_names()).otherwise(F.array("name")), F.when(none, _no_pos()).otherwise(F.array("_par"))))
+    made = F.transform("_src", lambda x: edge("computedFrom", F.array(x["name"]), F.array(x["pos"])))
+    return seen.select(*UNIT, "name", "pos", F.inline(F.when(F.col("role") == "rhs", used).otherwise(made))).select(*EDGE)
+
+
+def numbered_names(edges: DataFrame) -> DataFrame:
+    """`normalize_names` by windows alone, for edges dealt by `ex` with one edge per place."""
+    first = F.min(F.struct("pos", "i")).over(Window.partitionBy(*UNIT, "name"))
+    mentions = edges.select(
+        *UNIT, "pos", "relation", F.posexplode(F.concat("parent_names", F.array("name"))).alias("i", "name")
+    ).withColumn("first", first)
+    var = F.concat(F.lit("var_"), (F.dense_rank().over(Window.partitionBy(*UNIT).orderBy("first")) - 1).cast("string"))
+    grouped = mentions.withColumn("var", var).groupBy(*UNIT, "pos", "relation").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("i", "var"))), lambda x: x.getField("var")).alias("vars"))
+    return grouped.select(
+        *UNIT, "pos", F.element_at("vars", -1).alias("name"), "relation",
+        F.slice("vars", F.lit(1), F.size("vars") - 1).alias("parent_names"),
+    )
+
+
+def flow_match(pairs: DataFrame, edges: DataFrame, ref_side: str | list[str] = "ref") -> DataFrame:
+    """model, idx, total, hit, as `dataflow_match` of `prepared_bags` gives them, without dealing rows anew.
+
+    `edges` are dealt by `ex` (as `straight_flows` leaves them; others are dealt here). Places, names and
+    equal edges are all grouped within an example, and an example ends as one row with the hits of each
+    side, which is what meets the pairs.
+    """
+    bags = edge_bags(numbered_names(connected_nodes(edges)))
+    refs = [ref_side] if isinstance(ref_side, str) else list(ref_side)
+    is_ref = lambda x: x["side"].isin(refs)
+    zero = F.lit(0).cast("bigint")
+    alike = bags.groupBy("ex", "edge").agg(F.collect_list(F.struct("side", "cnt")).alias("sides")).select(
+        "ex", F.filter("sides", is_ref).alias("want"), F.filter("sides", lambda x: ~is_ref(x)).alias("held"))
+    hits = F.transform("held", lambda h: F.struct(h["side"].alias("model"), F.aggregate(
+        "want", zero, lambda a, w: a + F.least(w["cnt"], h["cnt"])).alias("hit")))
+    wanted = F.aggregate("want", zero, lambda a, w: a + w["cnt"])
+    # a row for each side, and one without a side that carries the total
+    total_row = F.array(F.struct(F.lit(None).cast("string").alias("model"), wanted.alias("hit")))
+    sums = alike.select("ex", F.inline(F.concat(hits, total_row))).groupBy("ex", "model").agg(F.sum("hit").alias("hit"))
+    by_example = sums.groupBy("ex").agg(
+        F.max(F.when(F.col("model").isNull(), F.col("hit"))).alias("total"),
+        F.collect_list(F.when(F.col("model").isNotNull(), F.struct("model", "hit"))).alias("hits"),
+    ).select(F.col("ex").alias("idx"), "total", "hits")
+    own = F.get(F.filter("hits", lambda h: h["model"] == F.col("model")), F.lit(0))["hit"]
+    return pairs.select("model", "idx").join(by_example, "idx", "left").select(
+        "model", "idx", F.coalesce("total", zero).alias("total"), F.coalesce(own, zero).alias("hit"))
+
+
 def edge_bags(normalized: DataFrame) -> DataFrame:
     """Equal normalised edges counted per example and side."""
     edge = F.concat_ws("|", "name", "relation", F.array_join("parent_names", ","))

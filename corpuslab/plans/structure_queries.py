@@ -232,7 +232,7 @@ def flow_merge_nodes(t):
 
 @query("flow_normalize_names", "select ex, side, pos, name, relation, parents from flows_norm")
 def flow_normalize_names(t):
-    norm = flow.normalize_names(flow.cut_lineage(flow.connected_nodes(t.flows)))
+    norm = flow.numbered_names(flow.connected_nodes(flow.straight_flows(t.occ)))
     return norm.select("ex", "side", "pos", "name", "relation", joined(F.col("parent_names"), ",").alias("parents"))
 
 

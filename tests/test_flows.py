@@ -267,3 +267,21 @@ def test_golden_trees_are_read_back(spark, bits):
     assert shown[1] == "(a " * 11 + "(a)" + ")" * 11 and shown[2] == wide and shown[3] == "(one)" and len(shown) == 4
     plain = {r.ex: r.sexp for r in trees.subtrees(nodes).where("depth = 1").collect()}
     assert plain[0].count(":") == 0 and plain[0].count("(") == 9
+
+
+def test_one_layout_gives_the_same_matches(spark):
+    """Windows over rows dealt once, against joins and groupings of each step."""
+    rng = random.Random(9)
+    rows = [(ex, side, p // 5, p, rng.choice("abcde"), "lhs" if p % 5 == 0 else "rhs")
+            for ex in range(12) for side in ("ref", "m1", "m2", "other") for p in range(rng.choice([0, 1, 7, 33]))]
+    occ = spark.createDataFrame(rows, "ex bigint, side string, stmt bigint, pos bigint, name string, role string")
+    joined = flow.use_def(occ).filter("role = 'rhs'").drop("role").unionByName(flow.assignments(occ))
+    edges = flow.straight_flows(occ)
+    assert edges.exceptAll(joined).isEmpty() and joined.exceptAll(edges).isEmpty()
+    named, renamed = flow.normalize_names(flow.connected_nodes(joined)), flow.numbered_names(flow.connected_nodes(edges))
+    assert named.exceptAll(renamed).isEmpty() and renamed.exceptAll(named).isEmpty()
+    pairs = spark.createDataFrame([(m, i) for m in ("m1", "m2") for i in range(14)], "model string, idx bigint")
+    for refs in ("ref", ["ref", "other"]):
+        want = flow.dataflow_match(pairs, flow.prepared_bags(joined), refs)
+        got = flow.flow_match(pairs, edges, refs)
+        assert got.count() == 28 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
