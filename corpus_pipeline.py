@@ -30,10 +30,9 @@ def language_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id: texts link at
-    two bits of SimHash, as in op8, or at a Jaccard similarity of 0.8 of their 5-word shingles. Of
-    repeated rows of that id the one whose text comes first. Rows without an id stand for
-    themselves only."""
+    """One document of each group of near-duplicates, the one with the smallest id: fingerprints of 3-word
+    shingles link at two bits, as in op8. Of repeated rows of that id the one whose text comes first. Rows
+    without an id stand for themselves only. Columns of any type and name are carried along."""
     groups = simhash.near_duplicates(docs).where("doc_id is not null")
     special, stays = fresh("special_id", docs), fresh("stays", docs)
     removed = written(
