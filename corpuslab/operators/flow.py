@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from corpuslab.config import STATEMENT_GAPS, STATEMENT_TYPES
 from corpuslab.functions.arrays import let
 from corpuslab.functions.tables import literal_table
+from corpuslab.operators.scans import running
 from corpuslab.session import cut_lineage
 
 UNIT = ["ex", "side"]
@@ -29,9 +30,18 @@ def _no_pos() -> Column:
     return F.array().cast("array<bigint>")
 
 
-def use_def(occ: DataFrame) -> DataFrame:
+def use_def(occ: DataFrame, pieces: int | None = None) -> DataFrame:
     """Each occurrence with the latest earlier definition of its name (an as-of join done as
-    one window). The first sight of a name defines it, without a parent."""
+    one window). The first sight of a name defines it, without a parent.
+
+    With `pieces`, so many statements are walked together and a name that is everywhere in a long text is
+    spread over tasks; without, one task orders the uses of a name in a text."""
+    if pieces is not None:
+        sights = running(
+            occ.withColumn("_eo", evaluation_order()), [*UNIT, "name"], F.floor(F.col("stmt") / pieces), [F.col("_eo"), F.col("pos")],
+            {"_last": ("last", F.when(F.col("role") == "lhs", F.col("pos"))), "_first": ("min", F.struct("_eo", "pos"))},
+        )
+        return _used(sights.withColumn("_par", F.coalesce("_last", "_first.pos")))
     name_order = Window.partitionBy(*UNIT, "name").orderBy("_eo", "pos")
     before = name_order.rowsBetween(Window.unboundedPreceding, -1)
     defines = (F.col("role") == "lhs") | (F.row_number().over(name_order) == 1)
@@ -40,6 +50,10 @@ def use_def(occ: DataFrame) -> DataFrame:
         .withColumn("_def", F.when(defines, F.col("pos")))
         .withColumn("_par", F.last("_def", ignorenulls=True).over(before))
     )
+    return _used(seen)
+
+
+def _used(seen: DataFrame) -> DataFrame:
     none = F.col("_par").isNull()
     return seen.select(
         *UNIT, "name", "pos", F.lit("comesFrom").alias("relation"),

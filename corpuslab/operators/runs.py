@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuslab.config import KEEP_CHECKPOINTS
+from corpuslab.operators.scans import running
 
 
 def _flag(cond: Column, text: str) -> Column:
@@ -89,8 +90,17 @@ def best_epoch(log: DataFrame) -> DataFrame:
     )
 
 
-def checkpoint_plan(log: DataFrame, keep: int = KEEP_CHECKPOINTS) -> DataFrame:
-    """Epochs that are saved: no worse than every earlier one, or last; the newest are kept."""
+def checkpoint_plan(log: DataFrame, keep: int = KEEP_CHECKPOINTS, pieces: int | None = None) -> DataFrame:
+    """Epochs that are saved: no worse than every earlier one, or last; the newest are kept.
+
+    With `pieces`, so many epochs are walked together, and one long run is spread over tasks."""
+    if pieces is not None:
+        piece, late = F.floor(F.col("epoch") / pieces), [F.desc("epoch")]
+        low = running(log, ["run"], piece, [F.col("epoch")], {"_low": ("min", F.col("valid_loss"))})
+        last = running(low, ["run"], -piece, late, {"_after": ("sum", F.lit(1))}, )
+        saved = last.filter(F.col("_low").isNull() | (F.col("valid_loss") <= F.col("_low")) | F.col("_after").isNull())
+        newer = running(saved.drop("_low", "_after"), ["run"], -piece, late, {"_newer": ("sum", F.lit(1))})
+        return newer.withColumn("kept", F.coalesce("_newer", F.lit(0)) < keep).drop("_newer")
     by_epoch = Window.partitionBy("run").orderBy("epoch")
     earlier = F.min("valid_loss").over(by_epoch.rowsBetween(Window.unboundedPreceding, -1))
     final = F.lead("epoch").over(by_epoch).isNull()

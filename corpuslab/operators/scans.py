@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,8 +33,10 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
     def over(kind: str, column: str, window) -> Column:
         return (F.last(column, ignorenulls=True) if kind == "last" else kinds[kind](column)).over(window)
 
-    carried = totals.select(*keys, "_bucket", *[over(kind, f"_t_{n}", pieces).alias(f"_c_{n}") for n, (kind, _) in earlier.items()])
-    joined = tagged.join(carried, [*keys, "_bucket"])
+    carried = totals.select(*[F.col(k).alias(f"_k_{k}") for k in (*keys, "_bucket")],
+                            *[over(kind, f"_t_{n}", pieces).alias(f"_c_{n}") for n, (kind, _) in earlier.items()])
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in (*keys, "_bucket")]  # null keys are keys too
+    joined = tagged.join(carried, reduce(Column.__and__, same))
     out = []
     for n, (kind, _) in earlier.items():
         here, before = over(kind, f"_v_{n}", inside), F.col(f"_c_{n}")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuslab.config import LOG_GUARD, MASK_PENALTY, TOP_K_LINES
+from corpuslab.operators.scans import running
 
 STEP = ["ex", "step"]
 
@@ -41,8 +42,14 @@ def context_vectors(weighted: DataFrame, keys: list[str], vector: str,
     )
 
 
-def coverage(weights: DataFrame, source: list[str] | None = None) -> DataFrame:
-    """Weight each source position has received in earlier steps."""
+def coverage(weights: DataFrame, source: list[str] | None = None, pieces: int | None = None) -> DataFrame:
+    """Weight each source position has received in earlier steps.
+
+    With `pieces`, so many steps are walked together, and the steps of one position are spread over tasks."""
+    if pieces is not None:
+        summed = running(weights, ["ex", *(source or ["src"])], F.floor(F.col("step") / pieces), [F.col("step")],
+                         {"coverage": ("sum", F.col("weight"))})
+        return summed.withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
     earlier = (
         Window.partitionBy("ex", *(source or ["src"])).orderBy("step")
         .rowsBetween(Window.unboundedPreceding, -1)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslab.config import BRANCH_TYPES, KEEPS_BEFORE, LOOP_ENTRY
-from corpuslab.operators import flow, structure, trees
+from corpuslab.operators import flow, runs, structure, trace, trees
 from corpuslab.operators.scans import running
 from corpuslab.plans.code_trees import LANGS, TYPES, WRAPPED
 
@@ -285,3 +285,20 @@ def test_one_layout_gives_the_same_matches(spark):
         want = flow.dataflow_match(pairs, flow.prepared_bags(joined), refs)
         got = flow.flow_match(pairs, edges, refs)
         assert got.count() == 28 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_scans_in_pieces_give_the_same_rows(spark):
+    """A key that holds nearly all rows: definitions of a name, coverage of a position, one long run."""
+    rng = random.Random(5)
+    occ = spark.createDataFrame([(0, "ref", p // 5, p, "x" if p % 11 else "y", rng.choice(["lhs", "rhs", "rhs"])) for p in range(900)],
+                                "ex bigint, side string, stmt bigint, pos bigint, name string, role string").repartition(3)
+    weights = spark.createDataFrame([(0, s, 0 if s % 20 else 1, float(rng.randint(0, 8))) for s in range(600)],
+                                    "ex bigint, step bigint, src bigint, weight double").repartition(3)
+    log = spark.createDataFrame([("hot" if e % 50 else "cold", e, float(rng.randint(0, 9))) for e in range(700)] + [(None, 1, 1.0)],
+                                "run string, epoch bigint, valid_loss double").repartition(3)
+    for size in (1, 13, 10_000):
+        for whole, cut in ((flow.use_def(occ), flow.use_def(occ, size)), (trace.coverage(weights), trace.coverage(weights, pieces=size)),
+                           (runs.checkpoint_plan(log), runs.checkpoint_plan(log, pieces=size))):
+            assert sorted(whole.columns) == sorted(cut.columns)
+            cut = cut.select(*whole.columns)
+            assert whole.count() == cut.count() and whole.exceptAll(cut).isEmpty()
