@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuslab.operators.scans import running
+
 MATRIX = T.ArrayType(T.ArrayType(T.StringType()))
 
 
@@ -23,7 +25,44 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def read_json(spark: SparkSession, path: str, key1: str, key2: str, array: bool = False) -> DataFrame:
     """Corpus objects; `array` reads the old layout of one array per file."""
-    return spark.read.schema(corpus_schema(key1, key2)).option("multiLine", array).json(path)
+    schema = corpus_schema(key1, key2)
+    return read_array(spark, path, schema) if array else spark.read.schema(schema).json(path)
+
+
+def read_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Objects of files that each hold one JSON array, read by as many tasks as a file has byte ranges.
+
+    Files are cut at closing braces. Three running sums over the pieces of a file tell whether a piece starts
+    inside a string (quotes so far), how deep it lies (braces outside strings), and which object it belongs
+    to; the pieces of an object, and nothing larger, come together to be parsed. Pieces of one byte range
+    are summed up first, so no file is walked by one task. Objects that do not parse give nulls.
+    """
+    raw = spark.read.option("lineSep", "}").option("recursiveFileLookup", "true").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"),
+        F.monotonically_increasing_id().alias("id"), F.col("value").alias("piece"),
+    )
+    parts = F.split(F.regexp_replace("piece", r"(?s)\\.", ""), '"', -1)
+    braces = lambda s: F.length(s) - F.length(F.replace(s, F.lit("{"), F.lit("")))
+
+    def opened(inside: int):
+        return F.aggregate(F.transform("parts", lambda s, i: F.when((i + inside) % 2 == 0, braces(s)).otherwise(0)), F.lit(0), lambda x, y: x + y)
+
+    order, one_range = [F.col("range"), F.col("id")], F.col("range")
+    cut = raw.withColumn("parts", parts).select(
+        "file", "range", "id", "piece", (F.size("parts") - 1).alias("quotes"), opened(0).alias("plain"), opened(1).alias("quoted"))
+    quoted = running(cut, ["file"], one_range, order, {"before": ("sum", F.col("quotes"))})
+    starts = F.coalesce("before", F.lit(0)) % 2
+    closes = (starts + F.col("quotes")) % 2 == 0  # else the brace is part of a string
+    deep = quoted.select("file", "range", "id", "piece", F.when(starts == 0, F.col("plain")).otherwise(F.col("quoted")).alias("opens"), closes.alias("closes"))
+    step = F.col("opens") - F.col("closes").cast("int")
+    nested = running(deep, ["file"], one_range, order, {"depth": ("sum", step)})
+    ends = (F.col("closes") & (F.coalesce("depth", F.lit(0)) + step == 0)).cast("int")
+    numbered = running(nested.withColumn("ends", ends), ["file"], one_range, order, {"number": ("sum", F.col("ends"))})
+    pieces = F.sort_array(F.collect_list(F.struct("range", "id", "piece")))
+    objects = numbered.groupBy("file", F.coalesce("number", F.lit(0)).alias("number")).agg(
+        F.array_join(F.transform(pieces, lambda p: p["piece"]), "}").alias("text"), F.sum("opens").alias("opens"))
+    found = objects.where("opens > 0").select(F.concat(F.regexp_replace("text", r"(?s)^[^{]*", ""), F.lit("}")).alias("text"))
+    return found.select(F.from_json("text", schema).alias("o")).select("o.*")
 
 
 def complete_records(df: DataFrame, key1: str, key2: str) -> DataFrame:

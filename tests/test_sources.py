@@ -1,6 +1,8 @@
 """Files in and out, streams, registered queries."""
 
 import json
+import os
+import random
 
 import duckdb
 import pytest
@@ -167,3 +169,26 @@ def test_line_breaks_are_rejected(spark, tmp_path, text):
     df = spark.createDataFrame([(0, "fine"), (1, text)], "idx bigint, line string")
     with pytest.raises(Exception, match="line break"):
         write_lines(df, "line", ["idx"], str(tmp_path / "out"))
+
+
+@pytest.mark.parametrize("size, indent", [(64, None), (64, 2), (1 << 20, None)])
+def test_array_files_are_read_by_many_tasks(spark, tmp_path, size, indent):
+    rng = random.Random(size)
+    chars = ['"', "\\", "{", "}", "[", "]", ",", "a", " ", "\n", "é", '\\"', "}{", '"}']
+    made = [{"idx": i, "cs": "".join(rng.choice(chars) for _ in range(rng.randint(0, 30))), "java": None if i % 9 == 0 else f"{{{i}}}",
+             "cs_t": [["}", '"'], []], "java_t": []} for i in range(60)]
+    os.makedirs(tmp_path / "in")
+    for n, part in enumerate((made[:40], made[40:], [])):
+        (tmp_path / "in" / f"p{n}.json").write_text(json.dumps(part, ensure_ascii=bool(n), indent=indent))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    opened = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        if size == 64:
+            assert spark.read.option("lineSep", "}").text(str(tmp_path / "in")).rdd.getNumPartitions() > 20
+        rows = corpus.read_json(spark, str(tmp_path / "in"), "cs", "java", array=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.set("spark.sql.files.openCostInBytes", opened)
+    assert sorted((r.asDict() for r in rows), key=lambda r: r["idx"]) == made
