@@ -282,8 +282,8 @@ def txt_strip_py_comments(t):
     return t.documents.select("doc_id", strip_python_comments(code).alias("code"))
 
 
-#: Merging a few pairs a round, training takes minutes for thousands of them.
-BPE_SIZE = 200
+#: Entries of the subword vocabulary that the named queries learn; the full size takes several times as long.
+BPE_SIZE = 1000
 
 
 def _trained(t):
@@ -314,6 +314,22 @@ def bpe_encode(t):
     return coded.select("doc_id", "line_no", plain_line(F.col("tokens")).alias("text"))
 
 
+@query("enc_subword_ids", """
+    select idx as doc_id, line_no, replace(line,'$$','') as text from side_lines where side='key1' and line<>''""")
+def enc_subword_ids(t):
+    """Lines as ids of the learnt subword vocabulary, and from the ids back to text."""
+    letters, merges = _trained(t)
+    names = subwords.subword_vocab(letters, merges, SPEC.special_tokens())
+    words = t.spark.createDataFrame(list(enumerate(names)), "id bigint, token string")
+    lines = t.documents.select("doc_id", F.posexplode(snippet_lines(F.col("text"))).alias("line_no", "line"))
+    coded = subwords.encode_lines(
+        lines.withColumn("line_no", F.col("line_no").cast("bigint")).filter(F.col("line") != ""), "line", letters, merges
+    ).withColumn("tokens", F.array("tokens"))
+    ids = rowcodes.matrix_ids(coded, ["tokens"], words, "tokens", len(names))
+    back = rowcodes.matrix_tokens(ids, ["tokens"], words, len(names))
+    return back.select("doc_id", "line_no", plain_line(F.get("tokens", F.lit(0))).alias("text"))
+
+
 # -- vocabulary and encoding -----------------------------------------------------------------
 
 @query("vocab_build", "select id, token, id<=10 as is_special from vocab")
