@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -467,19 +469,14 @@ def flow_match(pairs: DataFrame, edges: DataFrame, ref_side: str | list[str] = "
     """
     bags = edge_bags(numbered_names(connected_nodes(edges)))
     refs = [ref_side] if isinstance(ref_side, str) else list(ref_side)
-    is_ref = lambda x: x["side"].isin(refs)
-    zero = F.lit(0).cast("bigint")
-    alike = bags.groupBy("ex", "edge").agg(F.collect_list(F.struct("side", "cnt")).alias("sides")).select(
-        "ex", F.filter("sides", is_ref).alias("want"), F.filter("sides", lambda x: ~is_ref(x)).alias("held"))
-    hits = F.transform("held", lambda h: F.struct(h["side"].alias("model"), F.aggregate(
-        "want", zero, lambda a, w: a + F.least(w["cnt"], h["cnt"])).alias("hit")))
-    wanted = F.aggregate("want", zero, lambda a, w: a + w["cnt"])
-    # a row for each side, and one without a side that carries the total
-    total_row = F.array(F.struct(F.lit(None).cast("string").alias("model"), wanted.alias("hit")))
-    sums = alike.select("ex", F.inline(F.concat(hits, total_row))).groupBy("ex", "model").agg(F.sum("hit").alias("hit"))
+    zero, alike = F.lit(0).cast("bigint"), Window.partitionBy("ex", "edge")
+    wanted = [F.coalesce(F.max(F.when(F.col("side") == r, F.col("cnt"))).over(alike), zero) for r in refs]
+    met = bags.select("ex", "side", "cnt", reduce(Column.__add__, [F.least(w, F.col("cnt")) for w in wanted]).alias("hit"))
+    sums = met.groupBy("ex", "side").agg(F.sum("cnt").alias("cnt"), F.sum("hit").alias("hit"))
+    is_ref = F.col("side").isin(refs)
     by_example = sums.groupBy("ex").agg(
-        F.max(F.when(F.col("model").isNull(), F.col("hit"))).alias("total"),
-        F.collect_list(F.when(F.col("model").isNotNull(), F.struct("model", "hit"))).alias("hits"),
+        F.sum(F.when(is_ref, F.col("cnt"))).alias("total"),
+        F.collect_list(F.when(~is_ref, F.struct(F.col("side").alias("model"), "hit"))).alias("hits"),
     ).select(F.col("ex").alias("idx"), "total", "hits")
     own = F.get(F.filter("hits", lambda h: h["model"] == F.col("model")), F.lit(0))["hit"]
     return pairs.select("model", "idx").join(by_example, "idx", "left").select(
