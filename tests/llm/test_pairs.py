@@ -138,7 +138,8 @@ def test_similar_texts(spark, monkeypatch, most):
     import corpus_pipeline
 
     kept = corpus_pipeline.near_copies_removed(spark, docs, "").select("doc_id").collect()
-    assert sorted(r[0] for r in kept) == sorted(set(roots(len(texts), near + alike)))
+    # the stage goes by the operator's contract, bits alone
+    assert sorted(r[0] for r in kept) == sorted(set(roots(len(texts), near)))
 
 
 def test_components_of_a_chain_and_a_star(spark):
