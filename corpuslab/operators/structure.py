@@ -19,8 +19,9 @@ from corpuslab.operators.scans import running
 from corpuslab.session import cut_lineage
 
 TREE = ["ex", "side"]
-DEFINING = ("declaration", "assignment", "increment")
 LOOPS = ("for", "for_each", "while")
+#: The role of nodes whose text counts as a whole.
+STRING = "string"
 #: Roles of statements that have sides.
 SIDED = ("declaration", "assignment", "for_each", "for")
 #: Bits of a block's number below those of the node it starts at; they tell apart ends at one node.
@@ -103,7 +104,8 @@ def annotated(nodes: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     to a statement it is a child of) and `marks`: (node, role, side) of every ancestor with a role,
     nearest first. One climb by pointer doubling finds all of them."""
     rules = flow.rule_table(nodes.sparkSession, fill_gaps=True) if rules is None else rules
-    told = flow.classify_nodes(nodes, rules)
+    told = flow.classify_nodes(nodes, rules).withColumn(
+        "role", F.coalesce("role", F.when(F.col("type").isin(*STRING_NODE_TYPES), STRING)))
     parents = told.where("role is not null").select(*TREE, F.col("node_id").alias("parent_id"), F.col("role").alias("parent_role"))
     kin = told.join(parents, [*TREE, "parent_id"], "left").withColumn(
         "edge", _side(F.col("lang"), F.col("parent_role"), F.col("field"), F.col("ord")))
@@ -122,7 +124,7 @@ def annotated(nodes: DataFrame, rules: DataFrame | None = None) -> DataFrame:
 def variable_uses(tree: DataFrame) -> DataFrame:
     """Leaves with a text other than their type; a string counts as a leaf, comments do not."""
     texts = F.col("text").isNotNull() & (F.col("text") != F.col("type")) & (F.col("type") != COMMENT_NODE_TYPE)
-    return tree.where(texts)
+    return tree.where(texts & ~F.exists("marks", lambda m: m["role"] == STRING))
 
 
 def statement_times(tree: DataFrame) -> DataFrame:
@@ -189,7 +191,6 @@ def control_graph(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
                            [(lang, t, True) for lang, ts in BRANCH_TYPES.items() for t in ts])
     entry = literal_table(tree.sparkSession, ["lang", "kid_type", "enters"], [(lang, t, True) for lang, t in LOOP_ENTRY.items()])
     both = control.join(kids, [*TREE, "node"]).join(branch, ["lang", "kid_type"], "left").join(entry, ["lang", "kid_type"], "left")
-    starts = F.collect_list(F.when(F.col("starts"), F.col("kid")))
     shape = both.groupBy(*TREE, "lang", "node", "role", "type", "last", "depth").agg(
         F.min("kid").alias("first"), F.min(F.when(F.col("starts"), F.col("kid"))).alias("flag"),
         F.max(F.col("kid_type").contains("else")).alias("has_else"),

@@ -191,6 +191,14 @@ def test_spans_and_marks(spark):
     assert [tuple(m) for m in tree[7].marks] == [(5, "assignment", "rhs"), (1, "while", None)]
 
 
+def test_strings_are_leaves_and_comments_are_not(spark):
+    text = Node("string_literal", leaf("inner"), field="value", text='"a inner"')
+    root = Node("program", Node("variable_declarator", leaf("a", "name"), text), Node("comment", text="// a"), Node("call", leaf("a")))
+    found = structure.flows(spark.createDataFrame(rows_of(root, 0, "java"), NODES)).collect()
+    assert {(r.name, r.relation, tuple(r.parent_names), tuple(r.parent_pos)) for r in found} == {
+        ("a", "comesFrom", ('"a inner"',), (3,)), ('"a inner"', "comesFrom", (), ()), ("a", "comesFrom", ("a",), (2,))}
+
+
 @pytest.mark.parametrize("bits", [13, 0])
 def test_trees_are_numbered_in_text_order(spark, monkeypatch, bits):
     monkeypatch.setattr(structure, "PIECE_BITS", bits)
