@@ -33,6 +33,8 @@ TOXIC_SAMPLE, CLEAN_SAMPLE = 1200, 3600
 #: Attention scores beyond this, up or down, count as this.
 STEEPEST = 15.0
 EPOCHS, BATCH, RATE = 6, 64, 0.01
+#: Words whose inputs are made together in training, and a hundred times the texts scored together.
+PART = 20_000
 #: Words a worker remembers; when there are more, it starts again with none.
 MEMORY = 200_000
 #: The fold of four that is never learned from.
@@ -301,8 +303,13 @@ def train(texts: list[list[str]], labels: np.ndarray, share: float | None = None
     rows = [np.array([number[w] for w in t], dtype=np.int32) for t in texts]
 
     def best(of):
-        gates = np.concatenate([np.zeros((2, 1, 3 * STATES), np.float32), network.gates(network.inputs(own, grams, starts))], axis=1)
-        return best_windows(network, gates, [rows[i] for i in of])
+        gates = np.zeros((2, len(words) + 1, 3 * STATES), dtype=np.float32)
+        for a in range(0, len(words), PART):
+            b = min(a + PART, len(words))
+            x = network.inputs(own[a:b], grams[starts[a]:ends[b - 1]], starts[a:b] - starts[a])
+            gates[:, a + 1:b + 1] = network.gates(x)
+        logits, at = zip(*[best_windows(network, gates, [rows[i] for i in of[k:k + PART // 100]]) for k in range(0, len(of), PART // 100)])
+        return np.concatenate(logits), np.concatenate(at)
 
     moments = {k: [np.zeros_like(getattr(network, k)) for _ in range(2)] for k in Network.NAMES}
     rng, step = np.random.default_rng(5), 0
@@ -382,9 +389,12 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     rows = joined.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r["doc_id"])
+    once: dict[str, str] = {}  # a word is held once, however often texts have it
+    texts = [[once.setdefault(w, w) for w in (r["text"] or "").split()] for r in rows]
+    known_labels = np.array([r["y"] for r in rows], dtype=np.int64)
+    del rows
     total = sum(sizes.values())
-    return train([r["text"].split() if r["text"] else [] for r in rows], np.array([r["y"] for r in rows], dtype=np.int64),
-                 sizes.get(1, 0) / total if total else None)
+    return train(texts, known_labels, sizes.get(1, 0) / total if total else None)
 
 
 def score(docs: DataFrame, network: Network, keep: list[str] | None = None, doc_id: str = "doc_id",
