@@ -130,6 +130,30 @@ def test_tuple_assignment_pairs_by_place(spark):
     assert got == {"a": ["x"], "b": ["y"]}
 
 
+def test_statement_edges_are_dealt_once_and_not_broadcast(spark, capsys):
+    # words unrolled from few rows look small to the planner: a join would send them through the driver
+    texts = spark.range(3).select(F.col("id").alias("ex"), F.lit("ref").alias("side"), F.explode(F.expr("sequence(0L, 11L)")).alias("pos"))
+    place = F.col("pos") % 6
+    df = texts.select("ex", "side", F.floor(F.col("pos") / 6).alias("stmt"), "pos", F.concat(F.lit("w"), place).alias("name"),
+                      F.when(place < 2, "lhs").otherwise("rhs").alias("role"), (place % 2).alias("item"))
+    for edges, rows in ((flow.declarations(df), 48), (flow.assignments(df), 48), (flow.assignments_grouped(df), 12),
+                        (flow.assignments_grouped(df, "item"), 12), (flow.increments(df), 36)):
+        assert edges.count() == rows
+        edges.explain()
+        plan = capsys.readouterr().out
+        assert "Join" not in plan and "Broadcast" not in plan and plan.count("Exchange") <= 1
+
+
+def test_statement_edges_of_repeated_and_null_keys(spark):
+    rows = [(0, 0, 0, "a", "lhs"), (0, 0, 0, "a", "lhs"), (0, 0, 1, "b", "rhs"), (0, 0, 1, "b", "rhs"), (None, 0, 0, "c", "lhs"), (None, 0, 1, "d", "rhs")]
+    df = spark.createDataFrame([(ex, "ref", s, p, n, r) for ex, s, p, n, r in rows], "ex bigint, side string, stmt bigint, pos bigint, name string, role string")
+    got = lambda edges: sorted((str(r.ex), r.name, tuple(r.parent_pos)) for r in edges.collect())
+    assert got(flow.assignments(df)) == [("0", "a", (1,))] * 4
+    assert got(flow.declarations(df)) == [("0", "a", (1,))] * 4 + [("None", "c", ())]
+    assert got(flow.assignments_grouped(df)) == [("0", "a", (1, 1))] * 2
+    assert got(flow.increments(df)) == [("0", "a", (0, 0, 1, 1))] * 2 + [("0", "b", (0, 0, 1, 1))] * 2
+
+
 def branch(spark, lang, has_else):
     """x=1; if(c){x=2;} [else{x=3;}] y=x; in blocks 0, 1, [2], 3"""
     bodies = [1, 2] if has_else else [1]
