@@ -36,6 +36,19 @@ def test_digests_are_equal_where_subtrees_are(spark):
     assert a.keys() == b.keys() and all((a[x] == a[y]) == (b[x] == b[y]) for x in a for y in a)
 
 
+def test_what_nodes_hold_is_not_dealt_once_a_level(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(trees, "cut_lineage", lambda df, real=trees.cut_lineage: seen.append(df.columns) or real(df))
+    rows = [(0, "ref", i, i - 1 if i else None, 0, "n", True, None) for i in range(6)]
+    # a node that comes twice stands as often as its parent, at each of its copies
+    rows += [(1, "ref", 0, None, 0, "r", True, None)] * 2 + [(1, "ref", 1, 0, 0, "a", True, None)] * 2 + [(1, "ref", 2, 1, 0, "b", True, None)]
+    df = spark.createDataFrame(rows, "ex bigint, side string, node_id bigint, parent_id bigint, ord bigint, type string, is_named boolean, text string")
+    got = sorted((r.ex, r.node_id, r.depth, r.sexp) for r in trees.subtrees(df).collect())
+    assert [r[2] for r in got if r[0] == 0] == [1, 2, 3, 4, 5] and got[0][3] == "(n (n (n (n (n (n))))))"
+    assert [r[1:] for r in got if r[0] == 1] == [(0, 1, "(r" + " (a (b))" * 4 + ")")] * 2 + [(1, 2, "(a (b))")] * 4
+    assert seen and not any("leaf_kids" in columns or "sexp" in columns for columns in seen)
+
+
 def test_childless_root_and_anonymous_children(spark):
     df = nodes(spark, {"a": [(0, None, 0, "program", True, None)],
                        "b": [(0, None, 0, "program", True, None), (1, 0, 0, ";", False, ";")]})
