@@ -235,3 +235,14 @@ def test_rule_table(spark):
     assert flow.rule_table(spark, fill_gaps=True).filter("lang = 'go' and role = 'increment'").count() == 2
     df = nodes(spark, {"ref": [(0, None, 0, "if_statement", True, None), (1, 0, 0, "other", True, None)]}).withColumn("lang", F.lit("java"))
     assert {r.type: r.role for r in flow.classify_nodes(df, rules).collect()} == {"if_statement": "if", "other": None}
+
+
+def test_texts_are_dealt_into_tasks_by_their_size(spark, tmp_path, monkeypatch):
+    from corpuslab.plans import tables
+
+    monkeypatch.setattr(tables, "PIECE", 1024, raising=False)
+    texts = spark.range(400).select(F.col("id").alias("conv_id"), F.lit(0).cast("bigint").alias("turn"), F.lit("user").alias("role"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    texts.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    held = tables.Tables(spark, str(tmp_path)).segments
+    sizes = [r["count"] for r in held.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(sizes) == 400 and len(sizes) > 16 and max(sizes) <= 400 / len(sizes) + len(sizes)
