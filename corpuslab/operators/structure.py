@@ -16,7 +16,7 @@ from corpuslab.config import (
 from corpuslab.functions.tables import literal_table
 from corpuslab.operators import flow
 from corpuslab.operators.scans import running
-from corpuslab.session import cut_lineage
+from corpuslab.session import stored
 
 TREE = ["ex", "side"]
 LOOPS = ("for", "for_each", "while")
@@ -30,6 +30,11 @@ END_BITS = 20
 PIECE_BITS = 13
 
 
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    """`stored`, and never broadcast: its files are many times smaller than its rows, and planners see the files."""
+    return stored(df, label).hint("merge")
+
+
 def renumbered(nodes: DataFrame) -> DataFrame:
     """The tree with `node_id` and `parent_id` numbered from 0 in text order, by `ord` of siblings.
 
@@ -61,7 +66,7 @@ def _doubled(state: DataFrame, above: dict | None = None, below: dict | None = N
     After k rounds a node's `up` is its 2**k-th ancestor and its values cover 2**k generations.
     """
     above, below = above or {}, below or {}
-    state = cut_lineage(state)
+    state = _kept(state, "climb")
     while True:
         moving = state.where("up is not null")
         if moving.isEmpty():
@@ -83,7 +88,7 @@ def _doubled(state: DataFrame, above: dict | None = None, below: dict | None = N
             else:
                 join = {F.sum: lambda a, b: a + F.coalesce(b, F.lit(0)), F.max: F.greatest}[below[c]]
                 values.append(join(F.col(c), F.col(f"_b_{c}")).alias(c))
-        state = cut_lineage(nxt.select(*values))
+        state = _kept(nxt.select(*values), "climb")
 
 
 def _side(lang: Column, role: Column, field: Column, ord: Column) -> Column:
@@ -109,7 +114,7 @@ def annotated(nodes: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     parents = told.where("role is not null").select(*TREE, F.col("node_id").alias("parent_id"), F.col("role").alias("parent_role"))
     kin = told.join(parents, [*TREE, "parent_id"], "left").withColumn(
         "edge", _side(F.col("lang"), F.col("parent_role"), F.col("field"), F.col("ord")))
-    kin = cut_lineage(kin)
+    kin = _kept(kin, "kin")
     mark = F.struct(F.col("parent_id").alias("node"), F.col("parent_role").alias("role"), F.col("edge").alias("side"))
     none = F.array().cast("array<struct<node:bigint,role:string,side:string>>")
     climbed = _doubled(
@@ -118,7 +123,7 @@ def annotated(nodes: DataFrame, rules: DataFrame | None = None) -> DataFrame:
                    F.when(F.col("parent_role").isNotNull(), F.array(mark)).otherwise(none).alias("marks")),
         above={"depth": lambda a, b: a + b, "marks": lambda a, b: F.concat(a, b)}, below={"last": F.max},
     )
-    return cut_lineage(kin.join(climbed, [*TREE, "node_id"]))
+    return _kept(kin.join(climbed, [*TREE, "node_id"]), "annotated")
 
 
 def variable_uses(tree: DataFrame) -> DataFrame:
@@ -208,7 +213,7 @@ def control_graph(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.transform(F.filter("kids", lambda k: (F.col("role") == "if") & (k >= F.col("flag"))), _start).alias("branches"),
         (~(F.coalesce("has_else", F.lit(False)) | F.col("type").contains("else")) | F.col("lang").isin(*KEEPS_BEFORE)).alias("keeps"),
     )
-    shape = cut_lineage(shape)
+    shape = _kept(shape, "control")
 
     def cut(block: Column, falls: bool, back: Column | None = None, after: Column | None = None, before: Column | None = None):
         none = F.lit(None).cast("bigint")
@@ -224,7 +229,7 @@ def control_graph(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
     merged = shape.select(*TREE, F.inline(pieces)).unionByName(roots).groupBy(*TREE, "block").agg(
         F.min("falls").alias("falls"), F.max("back").alias("back"), F.max("after").alias("after"), F.max("before").alias("before"))
     lined = running(merged, TREE, F.shiftright("block", END_BITS + PIECE_BITS), [F.col("block")], {"prior": ("max", F.col("block"))})
-    lined = cut_lineage(lined)
+    lined = _kept(lined, "cuts")
 
     def edge(a: Column, b: Column, when: Column):
         return F.when(when & a.isNotNull() & b.isNotNull(), F.struct(a.alias("block"), b.alias("succ")))
@@ -269,6 +274,6 @@ def flows(nodes: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     branches and loops; equal edges merged."""
     tree = annotated(nodes, rules)
     cuts, edges = control_graph(tree)
-    occ = cut_lineage(placed(occurrences(tree), cuts))
+    occ = _kept(placed(occurrences(tree), cuts), "occurrences")
     reached = flow.reaching_definitions(occ, edges)
     return flow.merge_edges(statement_edges(occ).unionByName(reached.select(*flow.EDGE)))

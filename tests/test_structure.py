@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslab.operators import flow, trees
+from corpuslab.operators import flow, structure, trees
+from corpuslab.plans import code_trees
 
 OCC = "ex bigint, side string, stmt bigint, pos bigint, name string, role string, block bigint"
 
@@ -246,3 +247,14 @@ def test_texts_are_dealt_into_tasks_by_their_size(spark, tmp_path, monkeypatch):
     held = tables.Tables(spark, str(tmp_path)).segments
     sizes = [r["count"] for r in held.groupBy(F.spark_partition_id().alias("task")).count().collect()]
     assert sum(sizes) == 400 and len(sizes) > 16 and max(sizes) <= 400 / len(sizes) + len(sizes)
+
+
+def test_trees_are_kept_compressed_and_never_broadcast(spark, monkeypatch, capsys):
+    words = [(ex, "ref", p, f"{'abcde'[(ex + p) % 5]}{p % 3}") for ex in range(3) for p in range(40)]
+    df = code_trees.code_nodes(spark.createDataFrame(words, "ex bigint, side string, pos bigint, w string"))
+    seen, frame = [], type(df)
+    monkeypatch.setattr(frame, "checkpoint", lambda self, *a, real=frame.checkpoint: seen.append(self.columns) or real(self, *a))
+    edges = structure.flows(df)
+    edges.explain()
+    assert "SortMergeJoin" in (plan := capsys.readouterr().out) and "Broadcast" not in plan
+    assert edges.count() > 0 and not seen  # a checkpoint keeps rows as they lie in memory
