@@ -1,5 +1,6 @@
 """Files in and out, streams, registered queries."""
 
+import glob
 import json
 import os
 import random
@@ -14,6 +15,7 @@ from corpuslab.operators.scores import corpus_bleu, exact_match
 from corpuslab.operators.segments import seg_stats
 from corpuslab.plans import all_queries
 from corpuslab.plans.oracle import with_tables
+from corpuslab.session import shared_dir
 from corpuslab.sources import corpus, text
 from corpuslab.streaming import scores as streaming
 
@@ -192,3 +194,22 @@ def test_array_files_are_read_by_many_tasks(spark, tmp_path, size, indent):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.set("spark.sql.files.openCostInBytes", opened)
     assert sorted((r.asDict() for r in rows), key=lambda r: r["idx"]) == made
+
+
+def test_no_task_writes_a_whole_split(spark, tmp_path):
+    docs = [(i, f'a "{i}", th\\e {{ou}}', "en", "s") for i in range(0, 400) if i % 10 < 8]  # one split
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    pattern = f"{shared_dir(spark).removeprefix('file:')}/**/json-array-*"
+    known = set(glob.glob(pattern, recursive=True))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = all_queries()["src_json_array"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    [made] = set(glob.glob(pattern, recursive=True)) - known
+    parts = sorted(glob.glob(f"{made}/split=train/part-*"))
+    assert len(parts) > 1
+    text = "".join(open(p).read() for p in parts)  # in order of their names they are one array
+    assert [o["idx"] for o in json.loads(text)] == [d[0] for d in docs]
+    assert sorted((r.idx, r.cs) for r in got) == [(d[0], d[1].replace(",", '}"{\\')) for d in docs]
