@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslab.operators import flow, structure, trees
-from corpuslab.plans import code_trees
+from corpuslab.plans import code_trees, metric_queries, tables
 
 OCC = "ex bigint, side string, stmt bigint, pos bigint, name string, role string, block bigint"
 
@@ -258,3 +258,28 @@ def test_trees_are_kept_compressed_and_never_broadcast(spark, monkeypatch, capsy
     edges.explain()
     assert "SortMergeJoin" in (plan := capsys.readouterr().out) and "Broadcast" not in plan
     assert edges.count() > 0 and not seen  # a checkpoint keeps rows as they lie in memory
+
+
+def conversations(spark, tmp_path, n=60):
+    turns = spark.range(n).select(F.floor(F.col("id") / 3).alias("conv_id"), (F.col("id") % 3).alias("turn"), F.lit("user").alias("role"),
+                                  F.concat_ws(" ", F.lit("The"), *[F.concat(F.lit(w), (F.col("id") % k).cast("string")) for k, w in enumerate("abcdefghi", 2)]).alias("text"))
+    turns.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    return tables.Tables(spark, str(tmp_path))
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line.strip() for line in plan.splitlines() if "Exchange" in line]
+
+
+def test_grams_are_counted_where_their_text_is(spark, tmp_path):
+    """Only texts are dealt, in tasks that grow in number with the files, not what is made of them."""
+    counts = metric_queries.ngram_counts(conversations(spark, tmp_path))
+    assert len(found := exchanges(counts)) == 1 and "REPARTITION_BY_NUM" in found[0]
+    assert counts.where("idx = 0 and n = 1").agg(F.sum("cnt")).first()[0] == 10 and counts.count() > 60
+
+
+def test_leaves_are_found_where_their_tree_is(spark, tmp_path):
+    leaves = trees.leaf_tokens(conversations(spark, tmp_path).nodes)
+    assert not any("hashpartitioning" in x and "REPARTITION_BY_NUM" not in x for x in exchanges(leaves))
+    assert leaves.where("side = 'ref'").count() == 600
