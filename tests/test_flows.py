@@ -310,3 +310,19 @@ def test_scans_in_pieces_give_the_same_rows(spark):
             assert sorted(whole.columns) == sorted(cut.columns)
             cut = cut.select(*whole.columns)
             assert whole.count() == cut.count() and whole.exceptAll(cut).isEmpty()
+
+
+def test_columns_give_the_names_of_windows(spark, monkeypatch):
+    """Whole examples column by column, in pieces of any size, with repeated, null and lone rows."""
+    rng = random.Random(4)
+    rows = [(ex, side, p // 5, p, rng.choice(["a", "b", "c", "é", "Z", None]), rng.choice(["lhs", "rhs", "rhs", "rhs"]) if p % 5 else "lhs")
+            for ex in [*range(9), None, 10**12] for side in ("ref", "m1", None) for p in range(rng.choice([0, 1, 7, 33]))]
+    rows += rng.choices(rows, k=60) + [(3, "ref", None, 7, "a", "rhs"), (4, "ref", 1, None, "b", "rhs"), (5, "m1", 2, 11, "c", None)]
+    occ = spark.createDataFrame(rows, "ex bigint, side string, stmt bigint, pos bigint, name string, role string")
+    want = flow.numbered_names(flow.connected_nodes(flow.straight_flows(occ)))
+    for size in (1, 40, flow.TOGETHER):
+        monkeypatch.setattr(flow, "TOGETHER", size)
+        got = flow.straight_names(occ)
+        assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert flow.straight_names(occ.where("ex < 0")).count() == 0
+    assert str(got._jdf.queryExecution().executedPlan()).count("Window") == 0
