@@ -1,5 +1,7 @@
 """Trees and data flow."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,3 +285,24 @@ def test_leaves_are_found_where_their_tree_is(spark, tmp_path):
     leaves = trees.leaf_tokens(conversations(spark, tmp_path).nodes)
     assert not any("hashpartitioning" in x and "REPARTITION_BY_NUM" not in x for x in exchanges(leaves))
     assert leaves.where("side = 'ref'").count() == 600
+
+
+def test_whole_trees_are_what_levels_make(spark):
+    """Random trees with repeated rows, null types, keys and names, in tasks and level by level, and nothing but examples dealt."""
+    rng = random.Random(11)
+    rows = []
+    for ex in [*range(12), None]:
+        for side in ("ref", "a", None):
+            for i in range(rng.randrange(1, 14)):
+                parent = None if i == 0 else rng.choice([rng.randrange(i), rng.randrange(max(0, i - 2), i), 99])
+                row = (ex, side, rng.choice([i] * 9 + [None]), parent, rng.choice([0, 1, 1, None]), rng.choice(["x", "yé", "(", None]),
+                       rng.choice([True, True, False, None]), rng.choice(["left", None]))
+                rows += [row] * rng.choice([1, 1, 2])
+    df = spark.createDataFrame(rows, "ex bigint, side string, node_id bigint, parent_id bigint, ord bigint, type string, is_named boolean, field string")
+    for options in ({}, {"digests": True}, {"fields": True}, {"digests": True, "fields": True}):
+        want = sorted(map(str, trees.levelled_subtrees(df, **options).collect()))
+        assert len(want) > 50
+        for most in (trees.WHOLE, 30, 0):
+            assert sorted(map(str, trees.subtrees(df, most=most, **options).collect())) == want
+    plan = trees.subtrees(df.repartition("ex"), digests=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
