@@ -306,3 +306,24 @@ def test_whole_trees_are_what_levels_make(spark):
             assert sorted(map(str, trees.subtrees(df, most=most, **options).collect())) == want
     plan = trees.subtrees(df.repartition("ex"), digests=True)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_texts_are_settled_where_they_lie(spark):
+    """Random block graphs, repeated rows and null keys, in place, in groups of names and spread; only texts are dealt."""
+    rng = random.Random(5)
+    rows, graph = [], []
+    for ex in [*range(8), None]:
+        for side in ("ref", None):
+            n = rng.randrange(1, 40)
+            for pos in range(n):
+                row = (ex, side, pos // 3, rng.choice([pos] * 9 + [None]), rng.choice(["a", "b", "c", None]), rng.choice(["lhs", "rhs", "rhs", None]), pos // 6)
+                rows += [row] * rng.choice([1, 1, 2])
+            graph += [(ex, side, b, rng.randrange(n // 6 + 1)) for b in range(n // 6 + 1) for _ in range(2)]
+    occ = spark.createDataFrame(rows, "ex bigint, side string, stmt bigint, pos bigint, name string, role string, block bigint")
+    blocks = spark.createDataFrame(graph, "ex bigint, side string, block bigint, succ bigint")
+    want = sorted(map(str, flow.spread_definitions(occ, blocks).collect()))
+    assert len(want) > 100
+    for most in (4096, 3, 1):
+        assert sorted(map(str, flow.reaching_definitions(occ, blocks, most).collect())) == want
+    found = flow.reaching_definitions(occ.repartition(5, "ex"), blocks.repartition(5, "ex"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
