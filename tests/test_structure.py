@@ -308,7 +308,7 @@ def test_whole_trees_are_what_levels_make(spark):
     assert plan.count("Exchange") == 1
 
 
-def test_texts_are_settled_where_they_lie(spark):
+def test_texts_are_settled_where_they_lie(spark, monkeypatch):
     """Random block graphs, repeated rows and null keys, in place, in groups of names and spread; only texts are dealt."""
     rng = random.Random(5)
     rows, graph = [], []
@@ -325,5 +325,7 @@ def test_texts_are_settled_where_they_lie(spark):
     assert len(want) > 100
     for most in (4096, 3, 1):
         assert sorted(map(str, flow.reaching_definitions(occ, blocks, most).collect())) == want
+    monkeypatch.setattr(flow, "TOGETHER", 25)
+    assert sorted(map(str, flow.reaching_definitions(occ, blocks).collect())) == want
     found = flow.reaching_definitions(occ.repartition(5, "ex"), blocks.repartition(5, "ex"))
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
