@@ -123,16 +123,15 @@ def golden_blocks(files: DataFrame, content: str = "value") -> DataFrame:
     """Blocks `==== name ==== code --- tree` of whole-file texts, in order."""
     pattern = r"(?s)={3,}[ \t]*\n([^\n]*)\n={3,}[ \t]*\n(.*?)\n---+[ \t]*\n(.*?)(?=\n={3,}[ \t]*\n[^\n]*\n={3,}|\z)"
     keep = [c for c in files.columns if c != content]
-    block = F.col("block")
-
-    def group(i: int) -> Column:
-        return F.regexp_extract(block, pattern, i)
-
-    return files.select(
-        *keep, F.posexplode(F.regexp_extract_all(F.col(content), F.lit(pattern), 0)).alias("block_no", "block")
-    ).select(
-        *keep, F.col("block_no").cast("bigint").alias("block_no"), strip(group(1)).alias("name"),
-        strip(group(2)).alias("code"), strip(group(3)).alias("tree"),
+    # a block is found once; its parts are what stands before and behind its first two marks
+    top, line = r"^={3,}[ \t]*\n([^\n]*)\n={3,}[ \t]*\n", r"(?s)^(.*?)\n---+[ \t]*\n"
+    blocks = files.select(*keep, F.posexplode(F.regexp_extract_all(F.col(content), F.lit(pattern), 0)).alias("block_no", "block"))
+    heads = blocks.select(*keep, "block_no", "block", F.regexp_extract("block", top, 0).alias("head"))
+    bodies = heads.select(*keep, "block_no", "head", F.expr("substring(block, length(head) + 1)").alias("body"))
+    return bodies.select(
+        *keep, F.col("block_no").cast("bigint").alias("block_no"), strip(F.regexp_extract("head", top, 1)).alias("name"),
+        strip(F.regexp_extract("body", line, 1)).alias("code"),
+        strip(F.col("body").substr(F.length(F.regexp_extract("body", line, 0)) + 1, F.length("body"))).alias("tree"),
     )
 
 

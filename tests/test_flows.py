@@ -277,6 +277,25 @@ def test_golden_trees_are_read_back(spark, bits):
     assert plain[0].count(":") == 0 and plain[0].count("(") == 9
 
 
+def test_texts_are_read_where_they_lie(spark, monkeypatch):
+    """Nodes of texts column by column against scans in pieces: random brackets, repeated, null and empty rows; nothing but texts is dealt."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["(", "(", ")", "a", "b: ", "c::", "'q)'", " "]) for _ in range(rng.choice([0, 3, 40, 200]))) for _ in range(30)]
+    rows = [(i, rng.choice(["x", "y"]), x) for i, x in enumerate(texts)]
+    rows += [*rows[:9], (None, "x", texts[5]), (3, None, texts[6]), (4, "z", None)]
+    df = spark.createDataFrame(rows, "ex bigint, side string, tree string")
+    want = trees.parsed_in_pieces(df, ["ex", "side"], piece_bits=3)
+    for size in (1, 50, trees.TOGETHER):
+        monkeypatch.setattr(trees, "TOGETHER", size)
+        for got in (trees.parsed(df, ["ex", "side"]), trees.parsed(df.repartition(3, "ex"), ["ex", "side"], dealt=True)):
+            assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    plan = str(got._jdf.queryExecution().executedPlan())
+    assert plan.count("Exchange") == 1 and "Window" not in plan
+    whole, apart = trees.subtrees(got, fields=True, dealt=True), trees.subtrees(want, fields=True)
+    assert whole.exceptAll(apart).isEmpty() and apart.exceptAll(whole).isEmpty()
+    assert str(whole._jdf.queryExecution().executedPlan()).count("Exchange") == 1
+
+
 def test_one_layout_gives_the_same_matches(spark):
     """Windows over rows dealt once, against joins and groupings of each step."""
     rng = random.Random(9)

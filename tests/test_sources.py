@@ -4,6 +4,7 @@ import glob
 import json
 import os
 import random
+import re
 
 import duckdb
 import pytest
@@ -70,6 +71,19 @@ def test_keywords_and_logs(spark, tmp_path):
     assert [len(KEYWORDS[k]) for k in ("c_sharp", "java", "python")] == [107, 50, 35]
 
 
+def test_parts_of_golden_blocks(spark):
+    """A block's parts cut at its marks, against one expression for all of it; the whole text is searched once."""
+    rng = random.Random(2)
+    parts = ["===", "====  ", "\n", "\n", "---", "-----", "a", " (b)", "==", "\t"]
+    texts = ["".join(rng.choice(parts) for _ in range(40)) for _ in range(150)]
+    texts += [f"==={e}\n{n}\n===\n{c}\n---\n{t}" * k for e in ("", " ") for n in ("", "x", "---") for c in ("", "y\n---", "\n") for t in ("", "(a)\n") for k in (1, 2)]
+    pattern = re.compile(r"={3,}[ \t]*\n([^\n]*)\n={3,}[ \t]*\n(.*?)\n---+[ \t]*\n(.*?)(?=\n={3,}[ \t]*\n[^\n]*\n={3,}|\Z)", re.S)
+    want = [(i, k, *[g.strip(" \t\n") for g in m.groups()]) for i, x in enumerate(texts) for k, m in enumerate(pattern.finditer(x))]
+    blocks = text.golden_blocks(spark.createDataFrame(list(enumerate(texts)), "i bigint, value string"))
+    assert sorted(tuple(r) for r in blocks.collect()) == sorted(want) and len(want) > 50
+    assert str(blocks._jdf.queryExecution().optimizedPlan()).count("|\\z)") == 1
+
+
 def test_golden_blocks(spark, tmp_path):
     (tmp_path / "c.txt").write_text("====\none\n====\n\nint a;\n\n---\n\n(program\n  (x))\n\n=====\ntwo words\n=====\n\nb\n\n---\n\n(program)\n")
     got = text.read_golden_files(spark, str(tmp_path / "c.txt")).orderBy("block_no").collect()
