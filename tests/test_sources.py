@@ -210,6 +210,15 @@ def test_array_files_are_read_by_many_tasks(spark, tmp_path, size, indent):
     assert sorted((r.asDict() for r in rows), key=lambda r: r["idx"]) == made
 
 
+def test_objects_of_array_files_are_not_dealt(spark, tmp_path):
+    made = [{"idx": i, "cs": "}" * (i % 5) + '{"', "java": "\\"} for i in range(500)]
+    (tmp_path / "one.json").write_text(json.dumps(made))
+    back = corpus.read_array(spark, str(tmp_path), "idx bigint, cs string, java string")
+    assert sorted((r.asDict() for r in back.collect()), key=lambda r: r["idx"]) == made
+    plan = str(corpus.read_array(spark, str(tmp_path), "idx bigint")._jdf.queryExecution().executedPlan())
+    assert plan.count("Exchange hashpartitioning") == 1  # only what goes on over the bounds of ranges meets others
+
+
 def test_no_task_writes_a_whole_split(spark, tmp_path):
     docs = [(i, f'a "{i}", th\\e {{ou}}', "en", "s") for i in range(0, 400) if i % 10 < 8]  # one split
     spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
