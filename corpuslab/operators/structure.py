@@ -14,7 +14,8 @@ from corpuslab.config import (
     BRANCH_TYPES, COMMENT_NODE_TYPE, KEEPS_BEFORE, LOOP_ENTRY, SIDE_FIELDS, SIDE_PLACES, STRING_NODE_TYPES,
 )
 from corpuslab.functions.tables import literal_table
-from corpuslab.operators import flow
+from corpuslab.operators import flow, wholeflow
+from corpuslab.operators.columns import TOGETHER, whole_examples
 from corpuslab.operators.scans import running
 from corpuslab.session import stored
 
@@ -104,13 +105,17 @@ def _side(lang: Column, role: Column, field: Column, ord: Column) -> Column:
     return side
 
 
+def _told(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    return flow.classify_nodes(nodes, rules).withColumn(
+        "role", F.coalesce("role", F.when(F.col("type").isin(*STRING_NODE_TYPES), STRING)))
+
+
 def annotated(nodes: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Nodes with `role` (by `rules`), `last` (the largest id inside), `depth` (root 1), `side` (what the node is
     to a statement it is a child of) and `marks`: (node, role, side) of every ancestor with a role,
     nearest first. One climb by pointer doubling finds all of them."""
     rules = flow.rule_table(nodes.sparkSession, fill_gaps=True) if rules is None else rules
-    told = flow.classify_nodes(nodes, rules).withColumn(
-        "role", F.coalesce("role", F.when(F.col("type").isin(*STRING_NODE_TYPES), STRING)))
+    told = _told(nodes, rules)
     parents = told.where("role is not null").select(*TREE, F.col("node_id").alias("parent_id"), F.col("role").alias("parent_role"))
     kin = told.join(parents, [*TREE, "parent_id"], "left").withColumn(
         "edge", _side(F.col("lang"), F.col("parent_role"), F.col("field"), F.col("ord")))
@@ -269,11 +274,62 @@ def statement_edges(occ: DataFrame) -> DataFrame:
     )
 
 
-def flows(nodes: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+#: Nodes of one example that a task holds, at most; the trees of larger ones are spread over tasks.
+WHOLE = 1 << 17
+
+
+def _whole_or_large(nodes: DataFrame, rules: DataFrame | None, most: int, made: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Edges (with `lang`) of examples of at most `most` nodes, made where the example was dealt, and the nodes of larger ones, if any."""
+    rules = flow.rule_table(nodes.sparkSession, fill_gaps=True) if rules is None else rules
+    sized = nodes.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("ex")))
+    told = _told(sized.where(F.col("_size") <= most), rules).select(*wholeflow.COLUMNS)
+
+    def run(batches):
+        for table, new in whole_examples(batches, TOGETHER):
+            yield from wholeflow.reached(table, new, lambda texts: flow._settled(texts, flow.MOST_FACTS), END_BITS, made)
+
+    types = {f.name: f.dataType.simpleString() for f in nodes.schema}
+    whole = told.mapInArrow(run, f"ex {types['ex']}, side {types['side']}, lang {types['lang']}, name string, pos bigint, relation string, "
+                                 "parent_names array<string>, parent_pos array<bigint>, times bigint")
+    large = nodes.groupBy("ex").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > most)
+    if not large.count():  # by all tasks at once, where a look for one row starts with one task
+        return whole, None
+    return whole, sized.where(F.col("_size") > most).drop("_size")
+
+
+def flows(nodes: DataFrame, rules: DataFrame | None = None, most: int = WHOLE) -> DataFrame:
     """Data-flow edges of trees: what statements make, and each use from every definition that reaches it over
-    branches and loops; equal edges merged."""
+    branches and loops; equal edges merged.
+
+    Whole examples are annotated, cut into blocks and settled where they were dealt, column by column (plans that do
+    not deal by `ex` yet deal once); examples of more than `most` nodes by `spread_flows`."""
+    whole, large = _whole_or_large(nodes, rules, most, made=True)
+    whole = whole.select(*flow.EDGE)
+    return whole if large is None else whole.unionByName(spread_flows(large, rules))
+
+
+def spread_flows(nodes: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """`flows` of large trees, each spread over tasks."""
     tree = annotated(nodes, rules)
     cuts, edges = control_graph(tree)
     occ = _kept(placed(occurrences(tree), cuts), "occurrences")
     reached = flow.reaching_definitions(occ, edges)
     return flow.merge_edges(statement_edges(occ).unionByName(reached.select(*flow.EDGE)))
+
+
+def reached_uses(nodes: DataFrame, rules: DataFrame | None = None, most: int = WHOLE) -> DataFrame:
+    """lang, ex, side, name, pos, parent: each use with every definition that reaches it, trees as in `flows`. What comes
+    of repeated nodes is repeated as joins of the single steps repeat it, last of all, so filters come before."""
+    whole, large = _whole_or_large(nodes, rules, most, made=False)
+    found = whole.select("lang", "ex", "side", "name", "pos", F.explode("parent_pos").alias("parent"), "times")
+    found = found.withColumn("_time", F.explode(F.expr("sequence(1L, times)"))).drop("times", "_time")
+    return found if large is None else found.unionByName(spread_uses(large, rules))
+
+
+def spread_uses(nodes: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """`reached_uses` of large trees, each spread over tasks."""
+    tree = annotated(nodes, rules)
+    cuts, edges = control_graph(tree)
+    occ = _kept(placed(occurrences(tree), cuts), "occurrences")
+    reached = flow.reaching_definitions(occ, edges).select("ex", "side", "name", "pos", F.explode("parent_pos").alias("parent"))
+    return reached.join(occ.select("ex", "side", "pos", "lang"), ["ex", "side", "pos"]).select("lang", "ex", "side", "name", "pos", "parent")

@@ -1,6 +1,7 @@
 """Trees to data flow: spans, scans, and flows against a small interpreter of random programs."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,6 +185,20 @@ def test_flows_of_random_programs(spark):
     assert {k: (got[k], want[k]) for k in got if got[k] != want[k]} == {}
 
 
+def test_whole_trees_flow_as_spread_ones(spark):
+    """Columns of whole examples against joins and scans: programs, repeated and null rows; only trees are dealt."""
+    rows = [r for i, lang in enumerate(LANGS[:3]) for r in rows_of(program(lang, random.Random(i), 2), i, lang)]
+    again = rows_of(Node("program", Node("while_statement", Node("condition", leaf("a")), Node("update_expression", leaf("a")))), 8, "java")
+    rows += again * 2 + [(None, *r[1:]) for r in again] + [(9, None, *r[2:]) for r in again]
+    df = spark.createDataFrame(rows, NODES)
+    found = structure.reached_uses(df)
+    got, want = Counter(found.collect()), Counter(structure.spread_uses(df).collect())
+    assert got == want and max(n for r, n in got.items() if r.ex == 8) > 1
+    for made in (found, structure.flows(df)):
+        plan = str(made._jdf.queryExecution().executedPlan())
+        assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
 def test_spans_and_marks(spark):
     root = Node("program", Node("while_statement", Node("condition", leaf("a")), Node("block", Node("assignment_expression", leaf("b", "left"), leaf("c", "right")))))
     tree = {r.node_id: r for r in structure.annotated(spark.createDataFrame(rows_of(root, 0, "java"), NODES)).collect()}
