@@ -194,7 +194,7 @@ def test_whole_trees_flow_as_spread_ones(spark):
     found = structure.reached_uses(df)
     got, want = Counter(found.collect()), Counter(structure.spread_uses(df).collect())
     assert got == want and max(n for r, n in got.items() if r.ex == 8) > 1
-    for made in (found, structure.flows(df)):
+    for made in (structure.reached_uses(df), structure.flows(df)):
         plan = str(made._jdf.queryExecution().executedPlan())
         assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
 
