@@ -297,19 +297,17 @@ def _whole_or_large(nodes: DataFrame, rules: DataFrame | None, most: int, made:
     return whole, sized.where(F.col("_size") > most).drop("_size")
 
 
-def flows(nodes: DataFrame, rules: DataFrame | None = None, most: int = WHOLE) -> DataFrame:
-    """Data-flow edges of trees: what statements make, and each use from every definition that reaches it over
-    branches and loops; equal edges merged.
-
-    Whole examples are annotated, cut into blocks and settled where they were dealt, column by column (plans that do
-    not deal by `ex` yet deal once); examples of more than `most` nodes by `spread_flows`."""
+def whole_flows(nodes: DataFrame, rules: DataFrame | None = None, most: int = WHOLE) -> DataFrame:
+    """`flows`, with whole examples annotated, cut into blocks and settled where they were dealt, column by column (plans
+    that do not deal by `ex` yet deal once); only examples of more than `most` nodes are spread over tasks, by `flows`."""
     whole, large = _whole_or_large(nodes, rules, most, made=True)
     whole = whole.select(*flow.EDGE)
-    return whole if large is None else whole.unionByName(spread_flows(large, rules))
+    return whole if large is None else whole.unionByName(flows(large, rules))
 
 
-def spread_flows(nodes: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """`flows` of large trees, each spread over tasks."""
+def flows(nodes: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Data-flow edges of trees: what statements make, and each use from every definition that reaches it over
+    branches and loops; equal edges merged. Each tree is spread over tasks."""
     tree = annotated(nodes, rules)
     cuts, edges = control_graph(tree)
     occ = _kept(placed(occurrences(tree), cuts), "occurrences")
@@ -318,7 +316,7 @@ def spread_flows(nodes: DataFrame, rules: DataFrame | None = None) -> DataFrame:
 
 
 def reached_uses(nodes: DataFrame, rules: DataFrame | None = None, most: int = WHOLE) -> DataFrame:
-    """lang, ex, side, name, pos, parent: each use with every definition that reaches it, trees as in `flows`. What comes
+    """lang, ex, side, name, pos, parent: each use with every definition that reaches it, trees as in `whole_flows`. What comes
     of repeated nodes is repeated as joins of the single steps repeat it, last of all, so filters come before."""
     whole, large = _whole_or_large(nodes, rules, most, made=False)
     found = whole.select("lang", "ex", "side", "name", "pos", F.explode("parent_pos").alias("parent"), "times")

@@ -185,6 +185,23 @@ def test_flows_of_random_programs(spark):
     assert {k: (got[k], want[k]) for k in got if got[k] != want[k]} == {}
 
 
+@pytest.mark.parametrize("size", [1, structure.TOGETHER])
+def test_whole_flows_of_random_programs(spark, monkeypatch, size):
+    monkeypatch.setattr(structure, "TOGETHER", size)
+    rows, want = [], {}
+    for i in range(84):
+        rng, lang = random.Random(i), LANGS[i % 7]
+        root = program(lang, rng, 6)
+        rows += rows_of(root, i, lang)
+        machine = Interpreter(lang)
+        machine.run(root, {})
+        want |= {(i, *k): (sorted(n), sorted(p)) for k, (n, p) in machine.edges.items()}
+    found = structure.whole_flows(spark.createDataFrame(rows, NODES).repartition(3)).collect()
+    got = {(r.ex, r.name, r.pos, r.relation): (r.parent_names, r.parent_pos) for r in found}
+    assert len(got) == len(found) and got.keys() == want.keys()
+    assert {k: (got[k], want[k]) for k in got if got[k] != want[k]} == {}
+
+
 def test_whole_trees_flow_as_spread_ones(spark):
     """Columns of whole examples against joins and scans: programs, repeated and null rows; only trees are dealt."""
     rows = [r for i, lang in enumerate(LANGS[:3]) for r in rows_of(program(lang, random.Random(i), 2), i, lang)]
@@ -194,7 +211,7 @@ def test_whole_trees_flow_as_spread_ones(spark):
     found = structure.reached_uses(df)
     got, want = Counter(found.collect()), Counter(structure.spread_uses(df).collect())
     assert got == want and max(n for r, n in got.items() if r.ex == 8) > 1
-    for made in (structure.reached_uses(df), structure.flows(df)):
+    for made in (structure.reached_uses(df), structure.whole_flows(df)):
         plan = str(made._jdf.queryExecution().executedPlan())
         assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
 
